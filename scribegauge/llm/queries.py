@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality, simhash, tokens, url_filter
+from . import chat_format, html_extract, quality, simhash, tokens, url_filter
 from .runtime import read_table
 
 URL_RULES = (
@@ -51,11 +51,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_chat_formatting": op4_chat_formatting,
     "op7_token_counts": op7_token_counts,
     "op9_quality_rules": op9_quality_rules,
+    "op10_html_extraction": op10_html_extraction,
 }
 ORACLE_SQL: dict[str, str] = {}
