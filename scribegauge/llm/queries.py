@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_extract, quality, simhash, tokens, toxicity, url_filter
+from . import chat_format, decontaminate, html_extract, quality, simhash, tokens, toxicity, url_filter
 from .runtime import read_table
 
 URL_RULES = (
@@ -37,6 +37,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digest(chat_format.format_chat(turns.unionByName(extra)))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_token_counts": op7_token_counts,
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
