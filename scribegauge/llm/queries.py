@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, quality, simhash, tokens, toxicity, url_filter
+from . import chat_format, decontaminate, html_extract, line_dedup, quality, simhash, tokens, toxicity, url_filter
 from .runtime import read_table
 
 URL_RULES = (
@@ -23,6 +23,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(read_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = simhash.group_documents(read_table(spark, sf_dir, "documents"))
     return grouped.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -67,6 +71,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_line_dedup": op2_line_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
