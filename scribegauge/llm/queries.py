@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, line_dedup, quality, simhash, tokens, toxicity, url_filter
+from . import chat_format, decontaminate, html_extract, line_dedup, mixing, quality, simhash, tokens, toxicity, url_filter
 from .runtime import read_table
 
 URL_RULES = (
@@ -45,6 +45,11 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.find_matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(read_table(spark, sf_dir, "documents"), max_repetition=mixing.MAX_REPETITION)
+    return mixed.select("doc_id", "source", "n_tokens", "epoch", "position")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -75,6 +80,7 @@ QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,

@@ -21,6 +21,7 @@ two classes among the training labels every text scores the base rate.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from zlib import crc32
 
@@ -39,7 +40,8 @@ WIDTHS = (1, 2, 3)
 FEATURES = 5
 #: Most labelled rows that the classifier is fitted on.
 TRAIN_ROWS = 5_000
-EPOCHS = 8
+#: Optimiser steps in all, of BATCH rows each; small samples take more epochs.
+STEPS, BATCH = 1_300, 32
 HELD_OUT_FOLD = 2
 THRESHOLD = 0.3
 CACHE_WORDS = 400_000
@@ -114,12 +116,12 @@ def train(texts: list[str], labels: list[int], langs: list[str | None], seed: in
     fit = order[len(held) :]
     params = [model.table, *model.filters, model.bias, model.out]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    out_bias, moments, step, rate, size = np.array([model.out_bias]), np.zeros(2), 0, 0.004, 32
+    out_bias, moments, step, rate = np.array([model.out_bias]), np.zeros(2), 0, 0.004
     best = (np.inf, None)
-    for _ in range(EPOCHS):
+    for _ in range(math.ceil(STEPS * BATCH / len(fit))):
         rng.shuffle(fit)
-        for start in range(0, len(fit), size):
-            batch = fit[start : start + size]
+        for start in range(0, len(fit), BATCH):
+            batch = fit[start : start + BATCH]
             step += 1
             grads = _gradients(model, docs, rows, y, batch, rng)
             for p, g, m, v in zip(params, grads[:-1], first, second):
