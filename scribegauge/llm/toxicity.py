@@ -22,6 +22,7 @@ two classes among the training labels every text scores the base rate.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass, field
 from zlib import crc32
 
@@ -42,6 +43,8 @@ FEATURES = 5
 TRAIN_ROWS = 5_000
 #: Optimiser steps in all, of BATCH rows each; small samples take more epochs.
 STEPS, BATCH = 1_300, 32
+#: Epochs without a better loss on the part set aside, after which training ends.
+PATIENCE = 10
 HELD_OUT_FOLD = 2
 THRESHOLD = 0.3
 CACHE_WORDS = 400_000
@@ -117,7 +120,7 @@ def train(texts: list[str], labels: list[int], langs: list[str | None], seed: in
     params = [model.table, *model.filters, model.bias, model.out]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     out_bias, moments, step, rate = np.array([model.out_bias]), np.zeros(2), 0, 0.004
-    best = (np.inf, None)
+    best, stale = (np.inf, None), 0
     for _ in range(math.ceil(STEPS * BATCH / len(fit))):
         rng.shuffle(fit)
         for start in range(0, len(fit), BATCH):
@@ -139,8 +142,11 @@ def train(texts: list[str], labels: list[int], langs: list[str | None], seed: in
             model.out_bias = float(out_bias[0])
         z = _logits(model, docs, rows, held)
         loss = float(np.mean(np.logaddexp(0, z) - y[held] * z))
+        stale += 1
         if loss < best[0]:
-            best = (loss, [p.copy() for p in params] + [model.out_bias])
+            best, stale = (loss, [p.copy() for p in params] + [model.out_bias]), 0
+        if stale >= PATIENCE:
+            break
     model.table, *rest = best[1]
     model.filters, (model.bias, model.out, model.out_bias) = rest[: len(WIDTHS)], rest[len(WIDTHS) :]
     z = _logits(model, docs, rows, held)
@@ -283,18 +289,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 ARROW = pa.schema(
     [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("toxic", pa.bool_())]
 )
-_WORKER: dict[int, Scorer] = {}
+#: The scorer of this Python worker, with its cache, by model.
+_WORKER: dict[str, Scorer] = {}
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, score, predicted, toxic``; ``toxic`` uses the language's threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def setup():
-        score = _WORKER.get(shared.id)
+        score = _WORKER.get(name)
         if score is None:
             _WORKER.clear()
-            score = _WORKER[shared.id] = Scorer(shared.value)
+            score = _WORKER[name] = Scorer(shared.value)
 
         def process(cols):
             out = []
