@@ -11,8 +11,8 @@ is taken from there, template or not, because copies of one page would
 otherwise turn each other's article into template.
 
 Statistics cover all pages: three scans, one aggregation by (host, slot) with
-partial sums inside each task, and a join of one small wrapper row per host
-that adaptive execution broadcasts when it is small and splits when it is not.
+partial sums inside each task, and joins of one narrow row per host, which is
+broadcast if its measured size is small and joined by a split shuffle if not.
 
 Defined results: null html gives an empty text; a null or host-less url has no
 wrapper, so only the element roles count; broken markup, open elements and cut
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import checkpointed, map_rows
+from .runtime import broadcast_if_small, checkpointed, map_rows
 from .url_filter import url_host
 
 MAX_DEPTH = 64
@@ -301,15 +301,15 @@ def _slot_statistics(pages: DataFrame) -> DataFrame:
 def induce_wrappers(pages: DataFrame) -> DataFrame:
     """``host, reference, template``: one row per host; expects ``page_id, host, html``."""
     hosted = pages.where("host != ''")
-    first = hosted.groupBy("host").agg(F.min("page_id").alias("page_id"))
-    picked = hosted.join(first, ["host", "page_id"], "left_semi").select("host", "html")
+    first = checkpointed(hosted.groupBy("host").agg(F.min("page_id").alias("page_id")))
+    picked = hosted.join(broadcast_if_small(first), ["host", "page_id"], "left_semi").select("host", "html")
     shapes = pa.schema([("host", pa.string()), ("reference", pa.string())])
     trees = map_rows(
         picked, ["host", "html"], "host string, reference string", shapes,
         lambda: lambda cols: [(h, parse(t or "").shape()) for h, t in zip(*cols)],
     )
     references = checkpointed(trees.groupBy("host").agg(F.min("reference").alias("reference")))
-    stats = _slot_statistics(hosted.join(references, "host"))
+    stats = _slot_statistics(hosted.join(broadcast_if_small(references), "host"))
     constant = stats.where((F.col("low") == F.col("high")) & (F.col("n") >= MIN_PAGES))
     template = constant.groupBy("host").agg(F.collect_list("slot").alias("template"))
     return checkpointed(references.join(template, "host"))
@@ -321,7 +321,7 @@ TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.st
 def extract_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages``."""
     hosted = pages.select("page_id", "url", "html", url_host(F.col("url")).alias("host"))
-    wrapped = hosted.join(induce_wrappers(hosted), "host", "left")
+    wrapped = hosted.join(broadcast_if_small(induce_wrappers(hosted)), "host", "left")
 
     def setup():
         def process(cols):

@@ -61,6 +61,20 @@ def _delete(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Measured size up to which one side of a join is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast if its measured rows fit ``limit`` bytes; else leave the join to shuffle.
+
+    The size is that of the rows as JSON, which is above what a broadcast holds
+    for the narrow tables this is meant for; ``df`` should be materialised.
+    """
+    size = df.agg(F.sum(F.length(F.to_json(F.struct(*df.columns))) + 16).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
