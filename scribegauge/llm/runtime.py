@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import shutil
 import tempfile
 import uuid
@@ -45,13 +46,17 @@ def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it back.
 
     Unlike a checkpoint it is compressed and read by column.  The files are
-    deleted when the driver's Python ends.
+    deleted when the driver's Python ends.  Shuffle files that led to the table
+    are needed no more; Spark drops them when the driver collects its garbage,
+    which is asked for here, as a long job would else keep them all.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
