@@ -41,7 +41,12 @@ def _drug(shift: int = 0) -> Column:
 
 def template_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One annotated sample per row of ``lineitem``; the error class is ``(l_orderkey + l_linenumber) % 8``."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"
+    )
+    if lines.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        # A small file is one split; the narrow rows are spread before the costly scoring.
+        lines = lines.repartition(spark.sparkContext.defaultParallelism)
     dose, kind = F.col("l_quantity").cast("int"), (F.col("l_orderkey") + F.col("l_linenumber")) % 8
     amount = F.concat_ws(" ", dose.cast("string"), F.lit("mg"))
     said_amount = (
@@ -88,7 +93,7 @@ def template_scorer() -> Scorer:
 
 
 def template_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_samples(template_samples(spark, sf_dir), template_scorer())
+    return score_samples(template_samples(spark, sf_dir), template_scorer(), matches=False)
 
 
 COUNTED = (*schemas.COUNT_FIELDS, *schemas.PRF_FIELDS)

@@ -9,6 +9,7 @@ Python; a text of the fast range is decided by one regular expression.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -50,6 +51,10 @@ def is_stable(text: Column) -> Column:
     return text.rlike(STABLE)
 
 
+#: Whatever may be punctuation.
+MARK = re.compile(r"[^\w\s]|_")
+
+
 def _is_blank(at: int, text: str) -> bool:
     """Whether the character at ``at`` of a lower-cased NFKC text is punctuation to blank out."""
     char = text[at]
@@ -64,7 +69,7 @@ def _is_blank(at: int, text: str) -> bool:
 def tokenize(text: str) -> list[str]:
     """The same tokens for one Python string (used for surfaces and terminologies)."""
     text = unicodedata.normalize("NFKC", text).lower()
-    return "".join(" " if _is_blank(i, text) else c for i, c in enumerate(text)).split()
+    return MARK.sub(lambda m: " " if _is_blank(m.start(), text) else m[0], text).split()
 
 
 Tokenizer = Callable[[str], list[str]]

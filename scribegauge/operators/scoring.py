@@ -318,19 +318,25 @@ def _decoded(annotations: dict | None) -> dict:
     return {"entities": annotations.get("entities") or [], "critical_slots": slots}
 
 
-def score_samples(samples: DataFrame, scorer: Scorer | None = None, include_alignment: bool = False) -> DataFrame:
-    """One result row per row of ``samples``; a faulty sample has zero counts and its ``error``."""
+def score_samples(
+    samples: DataFrame, scorer: Scorer | None = None, include_alignment: bool = False, matches: bool = True
+) -> DataFrame:
+    """One result row per row of ``samples``; a faulty sample has zero counts and its ``error``.
+
+    Without ``matches`` the logs of single matches are null, for runs that only sum counts.
+    """
     scorer = scorer or Scorer()
     ddl = schemas.ALIGNED if include_alignment else schemas.RESULT
     columns = ["sample_id", "ordinal", "reference", "hypothesis", "annotations", "metadata", *schemas.VERSION_FIELDS]
     empty = samples.sparkSession.createDataFrame([], ddl)
     arrow = to_arrow_schema(empty.schema)
+    names = [f for f in arrow.names if matches or not f.endswith("_matches")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 rows = [_scored(scorer, sample) for sample in batch.slice(start, 1000).to_pylist()]
-                yield pa.RecordBatch.from_pylist([{f: row.get(f) for f in arrow.names} for row in rows], schema=arrow)
+                yield pa.RecordBatch.from_pylist([{f: row.get(f) for f in names} for row in rows], schema=arrow)
 
     return samples.select(*columns).mapInArrow(run, ddl)
 
