@@ -5,8 +5,6 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
-import shutil
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -15,31 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; create a folder only if none is set.
-
-    A machine-local folder is only right where driver and executors share it,
-    so it is the fallback for local sessions such as the tests.
-    """
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        spark.sparkContext.setCheckpointDir(shared)
-        return
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="scribegauge-ckpt-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(own)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+from ..runtime import checkpointed, ensure_checkpoint_dir
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -51,8 +25,7 @@ def saved(df: DataFrame) -> DataFrame:
     which is asked for here, as a long job would else keep them all.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
     gc.collect()

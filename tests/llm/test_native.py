@@ -2,8 +2,9 @@
 
 import hashlib
 
-from scribegauge.llm import chat_format, components, url_filter
+from scribegauge.llm import chat_format, url_filter
 from scribegauge.llm.queries import URL_RULES
+from scribegauge.operators.graph import connected_components
 
 PAGES = "page_id long, url string, html string, rule string"
 
@@ -53,9 +54,9 @@ def test_edges_from_html(spark):
 
 def test_components(spark):
     chain = [(i, i + 1) for i in range(20, 40)] + [(5, 5), (7, 3), (3, 7), (None, 1), (100, 20)]
-    got = {r["node"]: r["label"] for r in components.connected_components(spark.createDataFrame(chain, "src long, dst long")).collect()}
+    got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(chain, "src long, dst long")).collect()}
     assert got == dict.fromkeys([*range(20, 41), 100], 20) | {5: 5, 3: 3, 7: 3}
-    assert components.connected_components(spark.createDataFrame([], "src long, dst long")).isEmpty()
+    assert connected_components(spark.createDataFrame([], "src long, dst long")).isEmpty()
 
 
 def test_chat_round_trip(spark):
