@@ -38,14 +38,12 @@ def make_lines(rng, n):
     return rows
 
 
-def test_lines_match_brute_force(spark, monkeypatch):
+def test_lines_match_brute_force(spark):
     rng = random.Random(4)
     rows = make_lines(rng, 150) + [(1000, None), (1001, ""), (1002, "\n\n"), (None, rows_text()), (1003, rows_text()), (1003, rows_text()), (1004, rows_text().upper())]
     expected = later_lines(rows)
-    for short, long in ((64, 4096), (2, 4096), (2, 5)):
-        monkeypatch.setattr(line_dedup, "SHORT_RUN", short)
-        monkeypatch.setattr(line_dedup, "LONG_RUN", long)
-        found = line_dedup.find_later_matches(frame(spark, rows)).collect()
+    for short, long in ((64, 4096), (2, 20), (2, 3)):
+        found = line_dedup.find_later_matches(frame(spark, rows), short_run=short, long_run=long).collect()
         got = {(r["doc_id"], r["line_no"]): (r["match_doc_id"], r["match_line_no"]) for r in found}
         assert got == expected and len(expected) > 50
 
