@@ -86,4 +86,69 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_html_extraction": op10_html_extraction,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _rule_case(field: str, host: str = "host", path: str = "path") -> str:
+    ordered = sorted(URL_RULES, key=lambda r: -len(r.text))
+    fits = (f"WHEN ({host} = '{r.host}' OR ends_with({host}, '.{r.host}')) AND starts_with({path}, '{r.path}') THEN '{getattr(r, field)}'" for r in ordered)
+    return f"CASE {' '.join(fits)} END"
+
+
+def _url_part(url: str, pattern: str) -> str:
+    return f"regexp_extract(coalesce({url}, ''), '(?s)^.*?://{pattern}', 1)"
+
+
+_UPPER, _LOWER = url_filter.UPPER, url_filter.LOWER
+
+
+def _url_host(url: str) -> str:
+    return f"translate({_url_part(url, '([^/?#]*)')}, '{_UPPER}', '{_LOWER}')"
+
+
+def _url_key(url: str) -> str:
+    return f"nullif({_url_host(url)} || {_url_part(url, '[^/?#]*([^#]*)')}, '')"
+
+
+_PATH = "[^/?#]*([^?#]*)"
+_TAG = """regexp_extract(list_filter(regexp_extract_all(coalesce(html, ''), '(?is)<{tag}\\b[^>]*>'),
+    lambda x: regexp_matches(x, '(?i)\\b{mark}'))[1], '(?i)\\b{at}\\s*=\\s*["'']?([^"''\\s>]+)', 1)"""
+_CANONICAL = _TAG.format(tag="link", mark="rel\\s*=\\s*[\"'']?canonical\\b", at="href")
+_REFRESH = _TAG.format(tag="meta", mark="http-equiv\\s*=\\s*[\"'']?refresh\\b", at="url")
+
+_URL_SQL = f"""WITH RECURSIVE found AS (
+    SELECT url, unnest([{_CANONICAL}, {_REFRESH}]) AS target FROM pages),
+  resolved AS (SELECT url, CASE WHEN contains(target, '://') THEN target WHEN starts_with(target, '//') THEN 'http:' || target
+      WHEN starts_with(target, '/') THEN 'http://' || {_url_host("url")} || target
+      ELSE 'http://' || {_url_host("url")} || coalesce(nullif(regexp_replace({_url_part("url", _PATH)}, '[^/]*$', ''), ''), '/') || target END AS target
+    FROM found WHERE coalesce(target, '') <> ''),
+  edges AS (SELECT {_url_key("url")} AS a, {_url_key("target")} AS b FROM resolved),
+  both_ways AS (SELECT a, b FROM edges WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM edges WHERE a IS NOT NULL AND b IS NOT NULL),
+  bad(k) AS (SELECT DISTINCT a FROM both_ways WHERE {_rule_case("verdict", _url_host("('x://' || a)"), _url_part("('x://' || a)", _PATH))} = 'block'
+    UNION SELECT b FROM both_ways, bad WHERE a = k),
+  judged AS (SELECT page_id, {_url_key("url")} AS k, {_url_host("url")} AS host, {_url_part("url", _PATH)} AS path FROM pages)
+  SELECT page_id, host, path, {_rule_case("text")} AS rule,
+    coalesce({_rule_case("verdict")}, CASE WHEN k IN (SELECT k FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM judged"""
+
+
+def _escaped(text: str) -> str:
+    out = f"replace({text}, '\\', '\\\\')"
+    for mark in chat_format.CONTROL:
+        out = f"replace({out}, '{mark}', '{mark[0]}\\{mark[1:]}')"
+    return out
+
+
+_CHAT_SQL = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+  e AS (SELECT *, {_escaped("role")} AS er, {_escaped("text")} AS et FROM t),
+  o AS (SELECT *, lag(role) OVER w AS before, lead(role) OVER w AS after FROM e
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, er, et))
+  SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, er, et)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, er, et) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length(et) + 5 + CASE WHEN before IS DISTINCT FROM role THEN length(er) ELSE 0 END
+      + CASE WHEN after IS DISTINCT FROM role THEN 8 ELSE 0 END) AS BIGINT) AS formatted_chars
+  FROM o GROUP BY conv_id"""
+
+#: The other queries hash, train or align in ways that SQL has no words for; the tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": _URL_SQL, "op4_chat_formatting": _CHAT_SQL}
