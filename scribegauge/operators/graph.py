@@ -29,7 +29,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     while True:
         far = labels.select(F.col("node").alias("dst"), F.col("label").alias("far"))
         hooked = both.join(far, "dst").groupBy(F.col("src").alias("node")).agg(F.min("far").alias("far"))
-        stepped = labels.join(hooked, "node").select("node", F.col("label").alias("old"), F.least("label", "far").alias("step"))
+        # Written before it is joined with itself, so that it is made once and a hub's rows can be split.
+        stepped = checkpointed(
+            labels.join(hooked, "node").select("node", F.col("label").alias("old"), F.least("label", "far").alias("step"))
+        )
         # A label is itself a node, so take that node's new label.
         jump = stepped.select(F.col("node").alias("step"), F.col("step").alias("jumped"))
         label = F.coalesce(F.least("jumped", "step"), F.col("step"))
