@@ -20,7 +20,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove lines that repeat earlier ones, and documents of which nothing is left."""
-    return line_dedup.remove_later_lines(docs)
+    return line_dedup.remove_later_lines(docs, min_words=line_dedup.EVERY_LINE)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(read_table(spark, sf_dir, "documents"))
+    return line_dedup.line_report(read_table(spark, sf_dir, "documents"), min_words=line_dedup.EVERY_LINE)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
