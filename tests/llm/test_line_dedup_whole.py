@@ -35,3 +35,31 @@ def test_every_line_is_judged(spark, tmp_path):
     assert got == every_later_line(rows) and got[101, 0] == (100, 0) and got[103, 0] == (102, 0)
     left = {r["doc_id"] for r in line_dedup_stage(spark, frame(spark, rows), "").collect()}
     assert left == {i for i, t in rows if any((i, k) not in got for k in range(len(t.split("\n"))))} and 103 not in left
+
+
+def near_copies(rng, n):
+    """Lines of one group whose changed words share two bits of the bitmap, so that many wrong lines pass it."""
+    words = [w for w in (f"w{i}" for i in range(4000)) if line_dedup.hash_words(w.encode())[0][0] & 63 < 2]
+    base, other = words[:14], words[14:24]
+    rows = []
+    for i in range(n):
+        line = list(base)
+        for _ in range(rng.randint(1, 4)):
+            line[rng.randrange(len(line))] = rng.choice(other)
+        rows.append((i, " ".join(line)))
+    return rows
+
+
+def test_candidates_of_long_lists_before_a_failed_one(spark):
+    rows = near_copies(random.Random(3), 150)
+    expected = every_later_line(rows)
+    for long in (12, 30):
+        found = line_dedup.find_later_matches(frame(spark, rows), long_run=long).collect()
+        assert {(r["doc_id"], r["line_no"]): (r["match_doc_id"], r["match_line_no"]) for r in found} == expected
+
+
+def test_scan_leaves_every_long_list(spark):
+    rows = [(w, 0, i, 10, 0) for w in range(6) for i in range(3 + 4 * (w % 2))]
+    posted = spark.createDataFrame(rows, "word int, place short, doc_id long, size long, bits long").coalesce(1)
+    got = line_dedup.scan_postings(posted, long_run=5).where("word is not null").collect()
+    assert sorted(r["word"] for r in got) == [1, 3, 5]
