@@ -71,8 +71,10 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)(?:>|\Z)",
     re.DOTALL,
 )
-MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORD = re.compile(r"[A-Za-z]+")
+#: Elements that no class, id or role takes out.
+WHOLE = frozenset("html body main article".split())
 
 
 class Page:
@@ -90,31 +92,37 @@ class Page:
 
 
 @functools.lru_cache(maxsize=4096)
-def _role(tag: str, attrs: str) -> tuple[str, bool]:
-    """Label of an element for alignment, and whether it is never content."""
-    named, off = "", tag in NEVER
-    for kind, a, b, c in MARKS.findall(attrs):
-        words = [w.lower() for w in WORD.findall(a or b or c)]
-        off = off or any(w in ROLE_WORDS for w in words)
-        if kind.lower() == "class" and words and not named:
-            named = "." + words[0]
-    return tag + named, off
+def _role(tag: str, attrs: str) -> tuple[str, bool, bool]:
+    """Label of an element for alignment, whether its tag is never content, and whether a class, id or role says so."""
+    named, marked = "", False
+    for kind, a, b, c in ATTRIBUTE.findall(attrs):
+        kind, value = kind.lower(), a or b or c
+        if kind not in ("class", "id", "role"):
+            continue
+        marked = marked or any(token in ROLE_WORDS for token in value.lower().split())
+        words = WORD.findall(value)
+        if kind == "class" and words and not named:
+            named = "." + words[0].lower()
+    return tag + named, tag in NEVER, marked and tag not in WHOLE
 
 
 def parse(html: str) -> Page:
     page = Page()
     child: list[dict[str, int]] = [{}]
-    # Open elements: tag, never content, inside main, slot.
-    stack: list[tuple[str, bool, bool, int]] = [("#root", False, False, 0)]
+    # Open elements: tag, (never content, marked elements around), inside main, slot.
+    stack: list[tuple[str, tuple[bool, tuple[int, ...]], bool, int]] = [("#root", (False, ()), False, 0)]
     parts: list[str] = []
-    holder = (False, False, 0)
+    holder: tuple[tuple[bool, tuple[int, ...]], bool, int] = ((False, ()), False, 0)
+    marks = 0
+    cleared: set[int] = set()  # marked elements that hold an article or main
+    blocks: list[tuple[str, bool, int, tuple[int, ...]]] = []
 
     def flush() -> None:
         nonlocal parts
         if parts:
             text = " ".join("".join(parts).split())
-            if text and not holder[0]:
-                page.blocks.append((text, holder[1], holder[2]))
+            if text and not holder[0][0]:
+                blocks.append((text, holder[1], holder[2], holder[0][1]))
             parts = []
 
     def add(raw: str) -> None:
@@ -185,8 +193,11 @@ def parse(html: str) -> Page:
                 close = html.find(">", at)
                 at = size if close < 0 else close + 1
             continue
-        label, off = _role(tag, found[3])
-        _, was_off, was_main, slot = stack[-1]
+        label, off, marked = _role(tag, found[3])
+        _, (was_off, around), was_main, slot = stack[-1]
+        if marked:
+            marks += 1
+            around = (*around, marks)
         if len(stack) <= MAX_DEPTH:
             known = child[slot].get(label)
             if known is None:
@@ -198,8 +209,11 @@ def parse(html: str) -> Page:
             slot = known
         is_main = tag in ("article", "main") and not off and not was_off
         page.has_main = page.has_main or is_main
-        stack.append((tag, off or was_off, is_main or was_main, slot))
+        if is_main:
+            cleared.update(around)
+        stack.append((tag, (off or was_off, around), is_main or was_main, slot))
     flush()
+    page.blocks = [(text, main, slot) for text, main, slot, around in blocks if cleared.issuperset(around)]
     return page
 
 
