@@ -1,18 +1,22 @@
 """Main-text extraction by wrapper induction.
 
-Pages of a host are aligned with a reference page of the same host by simple
-tree matching (the largest order-preserving match of two labelled trees).
-Siblings with the same label form one slot, as the items of a list do.  A slot
-whose text is the same on every aligned page is template; the others vary and
-hold content, adverts and menus alike.  Elements that say what they are (menus,
-headers, footers, forms, adverts, notices, comments and so on) are never
-content, and where a page marks its article (``article`` or ``main``), the text
-is taken from there, template or not, because copies of one page would
-otherwise turn each other's article into template.
-
-Statistics cover all pages: three scans, one aggregation by (host, slot) with
-partial sums inside each task, and joins of one narrow row per host, which is
-broadcast if its measured size is small and joined by a split shuffle if not.
+Pages of a host are aligned with a reference tree of the host by simple tree
+matching (the largest order-preserving match of two labelled trees).  The
+reference is grown from all pages of the host: nodes of a page without a
+partner are merged into it, first inside each task, then over the tasks.
+Siblings are nodes of their own, whatever their labels.  A slot that has the
+same text on all its pages, of which at least ``MIN_PAGES`` differ, is template;
+one whose text varies is content.  Pages with the same text count once.  Where a
+page marks its article (``article`` or ``main``), the text is taken from there.
+Elements
+that say what they are (menus, headers, footers, forms, adverts, notices,
+comments and so on) are never content.
+
+Statistics cover all pages: three scans, one aggregation by host of the trees
+grown inside each task, one by (host, slot) with partial sums, and joins of one
+row per host, which is broadcast if its measured size is small and joined by a
+split shuffle if not.  How pages are spread over tasks can change the order in
+which a reference grows, and so which of several equally large matches is taken.
 
 Defined results: null html gives an empty text; a null or host-less url has no
 wrapper, so only the element roles count; broken markup, open elements and cut
@@ -27,6 +31,7 @@ import functools
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -37,7 +42,7 @@ from .runtime import broadcast_if_small, checkpointed, map_rows
 from .url_filter import url_host
 
 MAX_DEPTH = 64
-#: Aligned pages from which on a slot with one text counts as template.
+#: Different pages from which on a slot is decided: template with one text, content with several.
 MIN_PAGES = 3
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -84,7 +89,6 @@ class Page:
         self.blocks: list[tuple[str, bool, int]] = []  # text, inside article or main, slot
         self.labels: list[str] = ["#root"]
         self.parents: list[int] = [-1]
-        self.texts: list[list[str]] = [[]]
         self.has_main = False
 
     def shape(self) -> str:
@@ -108,7 +112,6 @@ def _role(tag: str, attrs: str) -> tuple[str, bool, bool]:
 
 def parse(html: str) -> Page:
     page = Page()
-    child: list[dict[str, int]] = [{}]
     # Open elements: tag, (never content, marked elements around), inside main, slot.
     stack: list[tuple[str, tuple[bool, tuple[int, ...]], bool, int]] = [("#root", (False, ()), False, 0)]
     parts: list[str] = []
@@ -137,7 +140,6 @@ def parse(html: str) -> Page:
             flush()
             holder = (off, main, slot)
         parts.append(text)
-        page.texts[slot].append(text)
 
     def close_to(depth: int) -> None:
         nonlocal parts
@@ -199,14 +201,9 @@ def parse(html: str) -> Page:
             marks += 1
             around = (*around, marks)
         if len(stack) <= MAX_DEPTH:
-            known = child[slot].get(label)
-            if known is None:
-                known = child[slot][label] = len(page.labels)
-                page.labels.append(label)
-                page.parents.append(slot)
-                page.texts.append([])
-                child.append({})
-            slot = known
+            page.labels.append(label)
+            page.parents.append(slot)
+            slot = len(page.labels) - 1
         is_main = tag in ("article", "main") and not off and not was_off
         page.has_main = page.has_main or is_main
         if is_main:
@@ -217,116 +214,226 @@ def parse(html: str) -> Page:
     return page
 
 
-def _tree(shape: str) -> tuple[list[str], list[list[int]]]:
-    labels: list[str] = []
-    children: list[list[int]] = []
+class Tree(NamedTuple):
+    """Nodes in document order; equal subtrees have equal codes."""
+
+    labels: list[str]
+    kids: list[list[int]]
+    sizes: list[int]
+    codes: list[int]
+
+
+@functools.lru_cache(maxsize=256)
+def _tree(shape: str) -> Tree:
+    labels, kids, parents = [], [], []
     for i, line in enumerate(shape.split("\n")):
         parent, _, label = line.partition(" ")
+        parents.append(int(parent))
         labels.append(label)
-        children.append([])
-        if int(parent) >= 0:
-            children[int(parent)].append(i)
-    return labels, children
-
-
-@functools.lru_cache(maxsize=4096)
+        kids.append([])
+        if parents[i] >= 0:
+            kids[parents[i]].append(i)
+    sizes, codes = [1] * len(labels), [0] * len(labels)
+    for i in range(len(labels) - 1, -1, -1):
+        codes[i] = xxhash.xxh3_64_intdigest(f"{labels[i]} {[codes[k] for k in kids[i]]}")
+        if parents[i] >= 0:
+            sizes[parents[i]] += sizes[i]
+    return Tree(labels, kids, sizes, codes)
+
+
+@functools.lru_cache(maxsize=256)
 def simple_tree_matching(shape: str, reference: str) -> tuple[int, ...]:
     """Node of ``reference`` for each node of ``shape``, or -1."""
-    labels, kids = _tree(shape)
-    ref_labels, ref_kids = _tree(reference)
-    tables: dict[tuple[int, int], list[list[int]]] = {}
+    one, two = _tree(shape), _tree(reference)
+    known: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
 
     def score(a: int, b: int) -> int:
-        if labels[a] != ref_labels[b]:
-            return 0
-        left, right = kids[a], ref_kids[b]
-        best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-        for i, x in enumerate(left, 1):
-            for j, y in enumerate(right, 1):
-                pair = best[i - 1][j - 1] + score(x, y) if labels[x] == ref_labels[y] else 0
-                best[i][j] = max(best[i - 1][j], best[i][j - 1], pair)
-        tables[a, b] = best
-        return best[-1][-1] + 1
-
-    mapped = [-1] * len(labels)
-    if score(0, 0):
-        todo = [(0, 0)]
-        while todo:
-            a, b = todo.pop()
-            mapped[a] = b
-            best, i, j = tables[a, b], len(kids[a]), len(ref_kids[b])
-            while i and j:
-                if best[i][j] == best[i - 1][j]:
-                    i -= 1
-                elif best[i][j] == best[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    todo.append((kids[a][i], ref_kids[b][j]))
+        """Size of the match of two nodes of the same label; equal subtrees match in whole."""
+        return one.sizes[a] if one.codes[a] == two.codes[b] else matched(a, b)[0]
+
+    def matched(a: int, b: int) -> tuple[int, list[tuple[int, int]]]:
+        key = one.codes[a], two.codes[b]
+        if key in known:
+            return known[key]
+        left, right = one.kids[a], two.kids[b]
+        # Equal subtrees at the heads and the tails of two lists can always be matched first.
+        head, most = 0, min(len(left), len(right))
+        while head < most and one.codes[left[head]] == two.codes[right[head]]:
+            head += 1
+        tail = 0
+        while tail < most - head and one.codes[left[-1 - tail]] == two.codes[right[-1 - tail]]:
+            tail += 1
+        rows, cols = left[head : len(left) - tail], right[head : len(right) - tail]
+        best = [[0] * (len(cols) + 1)]
+        for x in rows if cols else ():
+            above, row, label = best[-1], [0], one.labels[x]
+            for j, y in enumerate(cols):
+                top = max(above[j + 1], row[j])
+                row.append(max(top, above[j] + score(x, y)) if label == two.labels[y] else top)
+            best.append(row)
+        pairs = [(k, k) for k in range(head)] + [(len(left) - 1 - k, len(right) - 1 - k) for k in range(tail)]
+        i, j = len(best) - 1, len(cols)
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((head + i, head + j))
+        equal = sum(one.sizes[x] for x in (*left[:head], *left[len(left) - tail :]))
+        known[key] = best[-1][-1] + equal + 1, pairs
+        return known[key]
+
+    mapped = [-1] * len(one.labels)
+    todo = [(0, 0)] if one.labels[0] == two.labels[0] else []
+    while todo:
+        a, b = todo.pop()
+        if one.codes[a] == two.codes[b]:
+            mapped[a : a + one.sizes[a]] = range(b, b + one.sizes[a])
+            continue
+        mapped[a] = b
+        todo.extend((one.kids[a][i], two.kids[b][j]) for i, j in matched(a, b)[1])
     return tuple(mapped)
 
 
-def main_text(html: str, reference: str | None = None, template: frozenset[int] = frozenset()) -> str:
-    """Text of one page, given its host's reference tree and template slots."""
+def merge_trees(reference: str, shape: str) -> str:
+    """``reference`` with the nodes of ``shape`` that have no partner in it, each before the next that has one."""
+    mapped = simple_tree_matching(shape, reference)
+    if -1 not in mapped:
+        return reference
+    one, two = _tree(shape), _tree(reference)
+    partner = {b: a for a, b in enumerate(mapped) if b >= 0}
+    lines: list[str] = []
+
+    def write(parent: int, a: int | None, b: int | None) -> None:
+        """Write the node ``a`` of the page and ``b`` of the reference, which are one if both are given."""
+        at = len(lines)
+        lines.append(f"{parent} {two.labels[b] if b is not None else one.labels[a]}")
+        left, i = (one.kids[a] if a is not None else []), 0
+        for y in two.kids[b] if b is not None else ():
+            x = partner.get(y)
+            if x is not None:
+                while left[i] != x:
+                    write(at, left[i], None)
+                    i += 1
+                i += 1
+            write(at, x, y)
+        for x in left[i:]:
+            write(at, x, None)
+
+    write(-1, 0, 0)
+    return "\n".join(lines)
+
+
+def main_text(
+    html: str, reference: str | None = None, template: frozenset[int] = frozenset(), content: frozenset[int] = frozenset()
+) -> str:
+    """Text of one page, given its host's reference tree and decided slots."""
     page = parse(html)
-    if page.has_main:
-        kept = [text for text, main, _ in page.blocks if main]
-    elif reference is not None and template:
-        mapped = simple_tree_matching(page.shape(), reference)
-        kept = [text for text, _, slot in page.blocks if mapped[slot] not in template]
-    else:
-        kept = [text for text, _, _ in page.blocks]
+    mapped = simple_tree_matching(page.shape(), reference) if reference is not None and (template or content) else None
+    kept = []
+    for text, main, slot in page.blocks:
+        node = -1 if mapped is None else mapped[slot]
+        if main if page.has_main else node not in template:
+            kept.append(text)
     return "\n\n".join(kept)
 
 
-SLOTS = pa.schema([("host", pa.string()), ("slot", pa.int32()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+SLOTS = pa.schema(
+    [("host", pa.string()), ("slot", pa.int32()), ("pages", pa.list_(pa.int64())), ("low", pa.int64()), ("high", pa.int64())]
+)
+
+
+def _code(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def _slot_statistics(pages: DataFrame) -> DataFrame:
-    """``host, slot, n, low, high`` over all pages; expects ``host, html, reference``."""
+    """``host, slot, n, low, high`` over all pages; expects ``host, html, reference``.
+
+    ``n`` counts pages with different texts, exactly up to ``MIN_PAGES``.
+    """
 
     def batch(found: dict) -> pa.RecordBatch:
         rows = [(h, s, *v) for (h, s), v in found.items()]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SLOTS)], schema=SLOTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[str, int], tuple[int, int, int]] = {}
+        found: dict[tuple[str, int], tuple[list[int], int, int]] = {}
         for part in batches:
             for host, html, reference in zip(*(part.column(i) for i in range(3))):
                 page, host = parse(html.as_py() or ""), host.as_py()
+                if not page.blocks:
+                    continue
                 mapped = simple_tree_matching(page.shape(), reference.as_py())
-                for slot, texts in zip(mapped, page.texts):
-                    if slot < 0 or not texts:
-                        continue
-                    text = " ".join("".join(texts).split()).encode("utf-8", "surrogatepass")
-                    code = xxhash.xxh64_intdigest(text) - (1 << 63)
-                    n, low, high = found.get((host, slot), (0, code, code))
-                    found[host, slot] = (n + 1, min(low, code), max(high, code))
+                told = _code("\n".join(text for text, _, _ in page.blocks))
+                texts: dict[int, list[str]] = {}
+                for text, _, slot in page.blocks:
+                    texts.setdefault(mapped[slot], []).append(text)
+                texts.pop(-1, None)
+                for slot, held in texts.items():
+                    code = _code("\n".join(held))
+                    seen, low, high = found.get((host, slot), ([], code, code))
+                    if len(seen) < MIN_PAGES and told not in seen:
+                        seen = [*seen, told]
+                    found[host, slot] = (seen, min(low, code), max(high, code))
             if len(found) > 100_000:
                 yield batch(found)
                 found = {}
         if found:
             yield batch(found)
 
-    sent = pages.select("host", "html", "reference").mapInArrow(run, "host string, slot int, n long, low long, high long")
-    return sent.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    schema = "host string, slot int, pages array<long>, low long, high long"
+    sent = pages.select("host", "html", "reference").mapInArrow(run, schema)
+    told = F.size(F.array_distinct(F.flatten(F.collect_list("pages"))))
+    return sent.groupBy("host", "slot").agg(told.alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+TREES = pa.schema([("host", pa.string()), ("reference", pa.string())])
+#: Characters of grown trees that a task holds before it sends them on.
+TREE_CHARS = 32 << 20
+
+
+def grow_references(hosted: DataFrame) -> DataFrame:
+    """``host, reference``: the merged tree of all pages of each host that have any element."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grown: dict[str, str] = {}
+        held = 0
+        for part in batches:
+            for host, html in zip(part.column(0), part.column(1)):
+                page, host = parse(html.as_py() or ""), host.as_py()
+                if len(page.labels) == 1 and not page.blocks:
+                    continue
+                before = grown.get(host)
+                grown[host] = page.shape() if before is None else merge_trees(before, page.shape())
+                held += len(grown[host]) - len(before or "")
+            if held > TREE_CHARS:
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.string()) for x in zip(*grown.items())], schema=TREES)
+                grown, held = {}, 0
+        if grown:
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.string()) for x in zip(*grown.items())], schema=TREES)
+
+    def merge(key, table):
+        tree = functools.reduce(merge_trees, sorted(set(table.column("reference").to_pylist())))
+        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "reference": pa.array([tree], pa.string())})
+
+    schema = "host string, reference string"
+    return hosted.select("host", "html").mapInArrow(run, schema).groupBy("host").applyInArrow(merge, schema)
 
 
 def induce_wrappers(pages: DataFrame) -> DataFrame:
-    """``host, reference, template``: one row per host; expects ``page_id, host, html``."""
+    """``host, reference, template, content``: one row per host with decided slots; expects ``host, html``."""
     hosted = pages.where("host != ''")
-    first = checkpointed(hosted.groupBy("host").agg(F.min("page_id").alias("page_id")))
-    picked = hosted.join(broadcast_if_small(first), ["host", "page_id"], "left_semi").select("host", "html")
-    shapes = pa.schema([("host", pa.string()), ("reference", pa.string())])
-    trees = map_rows(
-        picked, ["host", "html"], "host string, reference string", shapes,
-        lambda: lambda cols: [(h, parse(t or "").shape()) for h, t in zip(*cols)],
-    )
-    references = checkpointed(trees.groupBy("host").agg(F.min("reference").alias("reference")))
-    stats = _slot_statistics(hosted.join(broadcast_if_small(references), "host"))
-    constant = stats.where((F.col("low") == F.col("high")) & (F.col("n") >= MIN_PAGES))
-    template = constant.groupBy("host").agg(F.collect_list("slot").alias("template"))
-    return checkpointed(references.join(template, "host"))
+    references = checkpointed(grow_references(hosted))
+    stats = _slot_statistics(hosted.join(broadcast_if_small(references), "host")).where(F.col("n") >= MIN_PAGES)
+    constant = F.col("low") == F.col("high")
+    decided = stats.groupBy("host").agg(
+        F.collect_list(F.when(constant, F.col("slot"))).alias("template"),
+        F.collect_list(F.when(~constant, F.col("slot"))).alias("content"),
+    )
+    return checkpointed(references.join(decided, "host"))
 
 
 TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
@@ -340,14 +447,14 @@ def extract_text(pages: DataFrame) -> DataFrame:
     def setup():
         def process(cols):
             out = []
-            for page_id, url, html, reference, template in zip(*cols):
-                text = main_text(html or "", reference, frozenset(template or ()))
+            for page_id, url, html, reference, template, content in zip(*cols):
+                text = main_text(html or "", reference, frozenset(template or ()), frozenset(content or ()))
                 out.append((page_id, url, text, len(text)))
             return out
 
         return process
 
     return map_rows(
-        wrapped, ["page_id", "url", "html", "reference", "template"],
+        wrapped, ["page_id", "url", "html", "reference", "template", "content"],
         "page_id long, url string, text string, n_chars long", TEXTS, setup, slice_rows=128,
     )

@@ -10,3 +10,27 @@ def test_role_words_are_whole_and_spare_the_main_text():
     assert main_text("<div class='content sidebar'><article>text</article></div>") == "text"
     assert main_text("<div data-id='ad' data-role='menu' title=\"x class='ad'\">text</div><div class='ad'>buy</div>") == "text"
     assert main_text("<article>text<div class='social'>share</div></article>") == "text"
+
+
+PAGES = "page_id long, url string, html string"
+
+
+def texts(spark, pages):
+    rows = [(i, f"http://a.net/{i}", html) for i, html in enumerate(pages)]
+    got = html_extract.extract_text(spark.createDataFrame(rows, PAGES)).collect()
+    return [r["text"] for r in sorted(got, key=lambda r: r["page_id"])]
+
+
+def test_reference_grows_from_all_pages(spark):
+    notice = "<section><em>Notice to all</em></section>"
+    pages = [None, ""] + [f"<body>{notice if i % 2 else ''}<p>Text {i}</p></body>" for i in range(8)]
+    assert texts(spark, pages) == ["", ""] + [f"Text {i}" for i in range(8)]
+    # Siblings of one label are slots of their own.
+    assert texts(spark, [f"<body><p>Welcome</p><p>Text {i}</p></body>" for i in range(4)]) == [f"Text {i}" for i in range(4)]
+
+
+def test_merged_tree_holds_both():
+    shapes = [html_extract.parse(h).shape() for h in ("<div><h1>a</h1><p>b</p></div>", "<div><p>x</p><em>y</em><p>z</p></div><ul><li>q</ul>")]
+    merged = html_extract.merge_trees(*shapes)
+    for shape in shapes:
+        assert -1 not in html_extract.simple_tree_matching(shape, merged)
