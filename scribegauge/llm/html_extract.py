@@ -6,9 +6,9 @@ reference is grown from all pages of the host: nodes of a page without a
 partner are merged into it, first inside each task, then over the tasks.
 Siblings are nodes of their own, whatever their labels.  A slot that has the
 same text on all its pages, of which at least ``MIN_PAGES`` differ, is template;
-one whose text varies is content.  Pages with the same text count once.  Where a
-page marks its article (``article`` or ``main``), the text is taken from there.
-Elements
+one whose text varies is content.  Pages with the same text count once.  Slots
+seen on too few pages are undecided; where the page marks its article
+(``article`` or ``main``) the mark decides them, else they are kept.  Elements
 that say what they are (menus, headers, footers, forms, adverts, notices,
 comments and so on) are never content.
 
@@ -335,7 +335,7 @@ def main_text(
     kept = []
     for text, main, slot in page.blocks:
         node = -1 if mapped is None else mapped[slot]
-        if main if page.has_main else node not in template:
+        if node in content or (node not in template and (main or not page.has_main)):
             kept.append(text)
     return "\n\n".join(kept)
 

@@ -21,6 +21,14 @@ def texts(spark, pages):
     return [r["text"] for r in sorted(got, key=lambda r: r["page_id"])]
 
 
+def test_slots_decide_on_pages_with_an_article(spark):
+    card = "<article><h2>Card {0}</h2></article>"
+    pages = [f"<body>{card.format(i % 2)}<div>Real text {i}</div><article><p>Read our terms</p></article></body>" for i in range(5)]
+    assert texts(spark, pages) == [f"Card {i % 2}\n\nReal text {i}" for i in range(5)]
+    # Copies of one page do not make its text template.
+    assert texts(spark, ["<body><article><p>One story</p></article></body>"] * 4) == ["One story"] * 4
+
+
 def test_reference_grows_from_all_pages(spark):
     notice = "<section><em>Notice to all</em></section>"
     pages = [None, ""] + [f"<body>{notice if i % 2 else ''}<p>Text {i}</p></body>" for i in range(8)]
