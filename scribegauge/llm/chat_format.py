@@ -109,12 +109,29 @@ def parse_chat(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
-def chat_digest(formatted: DataFrame, loss_roles: Sequence[str] = ("assistant",)) -> DataFrame:
-    """Digest columns read back from :func:`format_chat`'s output."""
-    parsed = formatted.select("conv_id", F.char_length("formatted").alias("n"), parse_chat(F.col("formatted")).alias("r"))
+def masked_texts(formatted: Column, loss_runs: Column) -> Column:
+    """``array<string>``: the texts of ``formatted`` that carry loss, cut out by the mask."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,n:int>>").alias("cut"))
+    # Loss runs are those at odd places.
+    placed = F.aggregate(
+        F.transform(loss_runs, lambda n, i: F.struct(n.alias("n"), (i % 2 == 1).alias("loss"))), start,
+        lambda got, run: F.struct(
+            (got["at"] + run["n"]).alias("at"),
+            F.when(run["loss"] & (run["n"] > 0), F.concat(got["cut"], F.array(F.struct(got["at"].alias("at"), run["n"].alias("n")))))
+            .otherwise(got["cut"]).alias("cut"),
+        ),
+    )["cut"]
+    return F.transform(placed, lambda x: unescape(F.substring(formatted, x["at"] + 1, x["n"])))
+
+
+def chat_digest(formatted: DataFrame) -> DataFrame:
+    """Digest columns read back from :func:`format_chat`'s output: turns by parsing, trained texts under the loss mask."""
+    parsed = formatted.select(
+        "conv_id", F.char_length("formatted").alias("n"), parse_chat(F.col("formatted")).alias("r"),
+        F.array_join(masked_texts(F.col("formatted"), F.col("loss_runs")), "").alias("trained"),
+    )
     spoken = F.array_join(F.transform("r", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    trained = F.array_join(F.transform(F.filter("r", lambda x: x["role"].isin(*loss_roles)), lambda x: x["text"]), "")
-    both = parsed.select("conv_id", "n", F.size("r").alias("k"), spoken.alias("spoken"), trained.alias("trained"))
+    both = parsed.select("conv_id", "n", F.size("r").alias("k"), spoken.alias("spoken"), "trained")
     return both.select(
         "conv_id",
         F.col("k").cast("long").alias("n_turns"),
