@@ -124,18 +124,16 @@ def detect_terms(samples: DataFrame, terminology: DataFrame, tokens: str = "toke
     lengths that occur as keys are made.  The join is left to the optimizer,
     which broadcasts a small terminology and shuffles a large one.
     """
-    sizes = [r["n"] for r in terminology.select("n").distinct().orderBy("n").limit(1000).collect()]
-    if not sizes:
-        sizes = [1]
-    arr = F.col(tokens)
-
-    def grams_of(n: int) -> Column:
-        starts = F.when(F.size(arr) >= n, F.sequence(F.lit(0), F.size(arr) - n)).otherwise(F.array().cast("array<int>"))
-        key = lambda i: F.array_join(F.slice(arr, i + 1, n), " ")
-        return F.transform(starts, lambda i: F.struct(i.alias("start"), (i + n).alias("end"), key(i).alias("key")))
-
-    grams = F.array(*map(grams_of, sizes))
-    made = samples.select(ident, F.inline(F.flatten(grams)))
+    sizes = sorted(r["n"] for r in terminology.select("n").distinct().collect()) or [1]
+    arr, n = F.col("_tokens"), F.col("_n")
+
+    def gram(i: Column) -> Column:
+        return F.struct(i.alias("start"), (i + n).alias("end"), F.array_join(F.slice(arr, i + 1, n), " ").alias("key"))
+
+    # The n-grams of one length at a time, however many lengths there are.
+    fitting = F.filter(F.lit(sizes).cast("array<int>"), lambda k: k <= F.size(tokens))
+    by_size = samples.select(ident, F.col(tokens).alias("_tokens"), F.explode(fitting).alias("_n"))
+    made = by_size.select(ident, F.inline(F.transform(F.sequence(F.lit(0), F.size(arr) - n), gram)))
     hits = made.join(terminology, "key").select(
         ident, F.struct("start", "end", F.col("key").alias("surface"), "canonical", "type", "concept_id").alias("t")
     )
