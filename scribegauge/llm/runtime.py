@@ -20,7 +20,7 @@ def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it back.
 
     Unlike a checkpoint it is compressed and read by column.  The files are
-    deleted when the driver's Python ends.  Shuffle files that led to the table
+    deleted by ``free``, or when the driver's Python ends.  Shuffle files that led to the table
     are needed no more; Spark drops them when the driver collects its garbage,
     which is asked for here, as a long job would else keep them all.
     """
@@ -30,7 +30,16 @@ def saved(df: DataFrame) -> DataFrame:
     atexit.register(_delete, spark, path)
     gc.collect()
     spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._saved_at = path
+    return table
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables of ``saved`` that nothing reads any more, before the driver's Python ends."""
+    for table in tables:
+        if path := getattr(table, "_saved_at", None):
+            _delete(table.sparkSession, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from corpus_pipeline import line_dedup_stage
 from scribegauge.llm import line_dedup
 from scribegauge.llm.queries import QUERIES
@@ -59,7 +62,30 @@ def test_candidates_of_long_lists_before_a_failed_one(spark):
 
 
 def test_scan_leaves_every_long_list(spark):
-    rows = [(w, 0, i, 10, 0) for w in range(6) for i in range(3 + 4 * (w % 2))]
-    posted = spark.createDataFrame(rows, "word int, place short, doc_id long, size long, bits long").coalesce(1)
-    got = line_dedup.scan_postings(posted, long_run=5).where("word is not null").collect()
-    assert sorted(r["word"] for r in got) == [1, 3, 5]
+    rows = [(w, i) for w in range(6) for i in range(3 + 4 * (w % 2))]
+    word, doc = (np.array(x) for x in zip(*rows))
+    same = {x: np.zeros(len(word), np.int64) for x in ("key", "line", "at", "bits")}
+    block = line_dedup.pack({"word": word, "doc": doc, "n": np.full(len(word), 10)} | same, line_dedup.POSTING)
+    posted = spark.createDataFrame([(0, len(word), bytearray(block))], "bucket int, n long, block binary")
+    for most, left, kept in ((1000, {1, 3, 5}, {0, 2, 4}), (10, set(range(6)), set())):
+        found = line_dedup.scan_blocks(posted, 0.8, short_run=2, long_run=5, most=most).collect()
+        words = {k: {w for r in found if r["kind"] == k for w in line_dedup.unpack(r["block"], line_dedup.POSTING)["word"].tolist()} for k in (line_dedup.LEFT_OUT, line_dedup.SCANNED)}
+        assert words == {line_dedup.LEFT_OUT: left, line_dedup.SCANNED: kept}
+        pairs = {(r["b_doc"], r["a_doc"]) for r in found if r["kind"] == line_dedup.CANDIDATE and r["a_doc"] is not None}
+        assert pairs == ({(1, 0), (2, 0)} if kept else set())
+
+
+def test_rows_with_one_id_and_other_texts(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, b), (None, a)]
+    left = line_dedup.remove_later_lines(frame(spark, rows).withColumn("_ld_key", F.lit("x")), min_words=1).collect()
+    assert sorted((r["doc_id"] or 0, r["text"], r["_ld_key"]) for r in left) == [(0, a, "x"), (1, a, "x"), (2, b, "x"), (2, b, "x")]
+    report = [(r["doc_id"], r["n_removed"]) for r in line_dedup.line_report(frame(spark, rows)).collect() if r["doc_id"]]
+    assert sorted(report) == [(1, 0), (2, 0), (2, 0), (2, 1), (3, 1)]
+
+
+def test_words_of_any_length():
+    words = ["a", "é", "abcdefgh", "abcdefghi", "x" * 17, "y" * 1024, "z" * 1025, "z" * 1026, "A"]
+    hashes, line = line_dedup.hash_words(("\n \x0b".join(words) + "\n").encode())
+    assert len(set(hashes.tolist())) == len(words) - 1 and hashes[0] == hashes[-1] and line.tolist() == list(range(len(words)))
+    assert len(line_dedup.hash_words(b" \n\t")[0]) == 0
