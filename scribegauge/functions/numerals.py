@@ -40,20 +40,29 @@ def number_dimension(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(number_words().items()), "word string, value long")
 
 
-DECIMAL = re.compile(r"[+-]?\d+(?:[.,]\d+)?")
-RATIO = re.compile(r"\d+/\d+")
+#: Numbers in digits, and two whole numbers over each other.
+DIGITS, RATIO = re.compile(r"[+-]?\d+([.,]\d+)?"), re.compile(r"\d+/\d+")
+POINT = "komma"
+
+
+@functools.cache
+def word_beginnings() -> frozenset[str]:
+    """Every beginning of a number word: a word outside of it begins no number in words."""
+    return frozenset(word[:n] for word in number_words() for n in range(1, len(word) + 1))
+
+
+def in_digits(words: list[str]) -> str | None:
+    """Spoken words as a numeral: a whole number in any number of words, then after ``komma`` a digit for each word."""
+    point = words.index(POINT) if POINT in words[1:-1] else len(words)
+    whole = number_words().get("".join(words[:point]))
+    places = [SMALL_NUMBERS.get(word, 10) for word in words[point + 1 :]]
+    if whole is None or any(digit > 9 for digit in places):
+        return None
+    return f"{whole}." + "".join(map(str, places)) if places else str(whole)
 
 
 def parse_number(text: str) -> Decimal | None:
-    """A number in digits, in words, or as ``<words> komma <digit words>``."""
+    """A number in digits or in words, else None."""
     text = text.strip().lower()
-    if DECIMAL.fullmatch(text):
-        return Decimal(text.replace(",", "."))
-    whole, comma, fraction = text.partition(" komma ")
-    value = number_words().get(whole.replace(" ", ""))
-    if not comma:
-        return None if value is None else Decimal(value)
-    digits = [SMALL_NUMBERS.get(w, 10) for w in fraction.split()]
-    if value is None or not digits or max(digits) > 9:
-        return None
-    return Decimal(f"{value}." + "".join(map(str, digits)))
+    numeral = text.replace(",", ".") if DIGITS.fullmatch(text) else in_digits(text.split())
+    return None if numeral is None else Decimal(numeral)

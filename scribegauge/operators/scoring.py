@@ -8,10 +8,11 @@ shuffled.  Everything that adds samples up is relational (``rollup``).
 from __future__ import annotations
 
 import json
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from typing import Any, Protocol
+from functools import partial
+from typing import Any, NamedTuple, Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +26,9 @@ from .lexicon import Combined, Lexicon, Recognizer, Term
 from .slotscan import RuleSlots, Slot, SlotRecognizer
 from .wordalign import DELETE, EQUAL, INSERT, SUBSTITUTE, Alignment, align_tokens, step_rows
 
+Span = tuple[int, int]
+EVENTS = ("tp", "fp", "fn")
+
 
 class Canonicalizer(Protocol):
     """Meaning of spans and values; plug-ins must be picklable."""
@@ -48,29 +52,17 @@ class GermanCanonicalizer:
         return typed_value(value, slot_type)
 
 
-def same_kind(a: str, b: str) -> bool:
-    return a == b or (a in NUMERIC_TYPES and b in NUMERIC_TYPES)
-
-
-def overlaps(span: tuple[int, int] | None, start: int, end: int) -> bool:
-    return span is not None and start < span[1] and span[0] < end
-
-
-@dataclass
-class Tally:
-    """Counts of one sample, in total by family and by type."""
+def family_of(kind: str) -> str:
+    """Numeric types are one family: which of them a number is depends on its term only."""
+    return "NUMERIC" if kind in NUMERIC_TYPES else kind
 
-    events: dict[tuple[str, str], list[int]] = field(default_factory=lambda: defaultdict(lambda: [0, 0, 0]))
 
-    def add(self, family: str, kind: str, event: str) -> None:
-        self.events[family, kind][("tp", "fp", "fn").index(event)] += 1
+def within(inner: Span | None, outer: Span) -> bool:
+    return inner is not None and outer[0] <= inner[0] and inner[1] <= outer[1]
 
-    def totals(self, family: str) -> dict[str, int]:
-        rows = [v for (f, _), v in self.events.items() if f == family]
-        return {f"{family}_{x}": sum(r[i] for r in rows) for i, x in enumerate(("tp", "fp", "fn"))}
 
-    def rows(self) -> list[dict]:
-        return [{"family": f, "type": t, "tp": v[0], "fp": v[1], "fn": v[2]} for (f, t), v in sorted(self.events.items())]
+def meet(a: Span | None, b: Span | None) -> bool:
+    return a is not None and b is not None and max(a[0], b[0]) < min(a[1], b[1])
 
 
 @dataclass
@@ -99,216 +91,236 @@ class Scorer:
     def versions(self) -> dict[str, str | None]:
         return {"schema_version": schemas.SCHEMA_VERSION} | {v: getattr(self, v) for v in schemas.VERSION_FIELDS[1:]}
 
-    def score(self, reference: str, hypothesis: str, annotations: dict | None = None) -> dict[str, Any]:
-        """Result of one sample as a dictionary; faults raise ``ValueError``."""
+    def score(self, reference: str, hypothesis: str, annotations: dict | None = None, detail: bool = True) -> dict[str, Any]:
+        """Result of one sample as a dictionary, with logs and alignment if ``detail`` is asked; faults raise ``ValueError``."""
         if not isinstance(reference, str) or not isinstance(hypothesis, str):
             raise ValueError("reference and hypothesis must be strings")
         annotations = annotations or {}
-        return _Sample(self, reference, hypothesis, annotations.get("entities") or [], annotations.get("critical_slots") or []).result()
-
-
-class _Sample:
-    """One sample on its way through alignment, detection and matching."""
-
-    def __init__(self, scorer: Scorer, reference: str, hypothesis: str, entities: list[dict], slots: list[dict]) -> None:
-        self.scorer, self.entities, self.slots = scorer, entities, slots
-        self.ref, self.hyp = scorer.tokenize(reference), scorer.tokenize(hypothesis)
-        self.alignment: Alignment = align_tokens(self.ref, self.hyp)
-        fault = next(
-            annotation_faults(
-                entities, slots, self.ref, scorer.tokenize, scorer.check_surfaces, scorer.allow_overlapping_entities
-            ), None,
-        )
-        if fault:
+        entities, slots = annotations.get("entities") or [], annotations.get("critical_slots") or []
+        ref, hyp = self.tokenize(reference), self.tokenize(hypothesis)
+        if fault := next(annotation_faults(entities, slots, ref, self.tokenize, self.check_surfaces, self.allow_overlapping_entities), None):
             raise ValueError(fault)
-        self.expected: dict[str, Any] = {}
-        for slot in slots:
-            try:
-                self.expected[slot["id"]] = scorer.canonicalizer.typed(slot["canonical"], slot["type"])
-            except (ValueError, TypeError) as error:
-                raise ValueError(f"{slot['id']}: invalid canonical value: {error}") from error
-        self.recognizer = self._recognizer()
-        self.terms = self.recognizer.extract(self.hyp)
-        for term in self.terms:
-            if not 0 <= term.start < term.end <= len(self.hyp):
+        expected = {slot["id"]: self._expected(slot) for slot in slots}
+        recognizer = self._recognizer(ref, entities)
+        said = Said(ref, hyp, align_tokens(ref, hyp), recognizer, recognizer.extract(hyp))
+        for term in said.terms:
+            if not 0 <= term.start < term.end <= len(hyp):
                 raise ValueError(f"recognizer returned an invalid span: {term}")
-        self.tally = Tally()
-        self.entity_log: list[dict] = []
-        self.slot_log: list[dict] = []
-
-    def _recognizer(self) -> Recognizer:
+        entity_verdicts, recovered = judge_entities(said, entities, self)
+        slot_verdicts = judge_slots(said, slots, expected, {e["id"]: e for e in entities}, recovered, self)
+        counts = error_counts(said, entities) | tally(entity_verdicts + slot_verdicts) | self.versions
+        if not detail:
+            return counts
+        logs = {
+            f"{family}_matches": [{"type": v.kind} | v.log() for v in verdicts]
+            for family, verdicts in (("entity", entity_verdicts), ("critical", slot_verdicts))
+        }
+        return counts | logs | {"ref_tokens": ref, "hyp_tokens": hyp, "alignment": step_rows(said.alignment)}
+
+    def _expected(self, slot: dict) -> Any:
+        try:
+            return self.canonicalizer.typed(slot["canonical"], slot["type"])
+        except (ValueError, TypeError) as error:
+            raise ValueError(f"{slot['id']}: invalid canonical value: {error}") from error
+
+    def _recognizer(self, ref: list[str], entities: list[dict]) -> Recognizer:
         """Annotated surfaces stay recognizable without a terminology, which takes precedence."""
         own = Lexicon(
-            (
-                {
-                    "surface": " ".join(self.ref[e["ref_start"] : e["ref_end"]]),
-                    "canonical": e["canonical"], "type": e["type"], "concept_id": e.get("concept_id"),
-                }
-                for e in self.entities
-            ), str.split,
+            ({"surface": " ".join(ref[e["ref_start"] : e["ref_end"]]), "canonical": e["canonical"], "type": e["type"], "concept_id": e.get("concept_id")} for e in entities),
+            str.split,
+        )
+        return Combined(self.recognizer, own) if self.recognizer else own
+
+
+@dataclass
+class Said:
+    """What one sample says: both token lists, their alignment, and the terms found in the hypothesis."""
+
+    ref: list[str]
+    hyp: list[str]
+    alignment: Alignment
+    recognizer: Recognizer
+    terms: list[Term]
+
+    def words(self, span: Span | None) -> list[str]:
+        return [] if span is None else self.hyp[slice(*span)]
+
+    def image(self, item: dict) -> Span | None:
+        """Where the hypothesis says an annotated span."""
+        return self.alignment.project(item["ref_start"], item["ref_end"])
+
+    def origin(self, span: Span) -> Span | None:
+        """The reference tokens that a hypothesis span is aligned to, as the narrowest span."""
+        at = [r for r in self.alignment.hyp_to_ref[slice(*span)] if r is not None]
+        return (min(at), max(at) + 1) if at else None
+
+
+class Supply:
+    """Occurrences of the hypothesis, each of which answers one annotation at most."""
+
+    def __init__(self, occurrences: list) -> None:
+        self.occurrences, self.used = occurrences, [False] * len(occurrences)
+
+    def offers(self, fits: Callable[[Any], bool]) -> list[int]:
+        return [i for i, item in enumerate(self.occurrences) if not self.used[i] and fits(item)]
+
+    def rest(self) -> list:
+        return [item for item, used in zip(self.occurrences, self.used) if not used]
+
+
+class Verdict(NamedTuple):
+    """The judgement of one annotation, or of an occurrence without one: what counts, and what is logged if asked."""
+
+    family: str
+    kind: str
+    events: tuple[str, ...]
+    log: Callable[[], dict]
+
+
+def judge_entities(said: Said, entities: list[dict], scorer: Scorer) -> tuple[list[Verdict], dict[str, Term]]:
+    """A verdict for each annotation and each term left over, and the recovered terms by entity id.
+
+    A term answers an entity if each lies within the other's counterpart: the
+    term covers the entity's image, and its own tokens come from nowhere else.
+    """
+    supply, verdicts, recovered = Supply(said.terms), [], {}
+    origins = {t: said.origin((t.start, t.end)) for t in said.terms}
+    for entity in entities:
+        image, source = said.image(entity), (entity["ref_start"], entity["ref_end"])
+        offers = supply.offers(
+            lambda t: within(image, (t.start, t.end)) and (origins[t] is None or within(origins[t], source))
         )
-        return Combined(self.scorer.recognizer, own) if self.scorer.recognizer else own
-
-    def text(self, start: int, end: int) -> list[str]:
-        return self.hyp[start:end]
-
-    # Entities ---------------------------------------------------------------
-
-    def fitting(self, entity: dict, span: tuple[int, int], free: set[int]) -> list[int]:
-        """Free terms that cover a projected span and map into no other reference token."""
-        inside = range(entity["ref_start"], entity["ref_end"])
-
-        def local(term: Term) -> bool:
-            mapped = self.alignment.hyp_to_ref[term.start : term.end]
-            return term.covers(*span) and all(r is None or r in inside for r in mapped)
-
-        return [i for i in sorted(free) if local(self.terms[i])]
-
-    def match_entities(self) -> dict[str, Term]:
-        """Judge each annotation in turn; returns the recovered anchors by entity id."""
-        free = set(range(len(self.terms)))
-        anchors: dict[str, Term] = {}
-        for entity in self.entities:
-            self._match_entity(entity, free, anchors)
-        for i in sorted(free):
-            term = self.terms[i]
-            self.tally.add("entity", term.type, "fp")
-            self.entity_log.append(
-                {
-                    "type": term.type, "hypothesis": term.surface, "hypothesis_canonical": term.canonical, "status": "FP",
-                    "hypothesis_start": term.start, "hypothesis_end": term.end,
-                }
-            )
-        return anchors
-
-    def _match_entity(self, entity: dict, free: set[int], anchors: dict[str, Term]) -> None:
-        strict = self.scorer.require_entity_type
-        projected = self.alignment.project(entity["ref_start"], entity["ref_end"])
-        offers = self.fitting(entity, projected, free) if projected else []
-
-        def wanted(i: int) -> bool:
-            term = self.terms[i]
-            return term.canonical == entity["canonical"] and (not strict or term.type == entity["type"])
-
-        # min keeps the first of equals: the wanted offers come before the rest.
-        chosen = min(offers, key=lambda i: not wanted(i), default=None)
-        span = projected if chosen is None else (self.terms[chosen].start, self.terms[chosen].end)
-        tokens = self.text(*span) if span else []
-        if chosen is not None and not strict:
-            found = self.terms[chosen].canonical
+        meaning = (entity["canonical"], entity["type"])
+        exact = [i for i in offers if (said.terms[i].canonical, said.terms[i].type if scorer.require_entity_type else meaning[1]) == meaning]
+        choice = next(iter(exact + offers), None)
+        term = None if choice is None else said.terms[choice]
+        span = image if term is None else (term.start, term.end)
+        if term is not None and not scorer.require_entity_type:
+            found = term.canonical
         else:
-            found = self.scorer.canonicalizer.entity(tokens, entity["type"], self.recognizer)
-        correct = found == entity["canonical"]
-        if correct and chosen is not None:
-            free.discard(chosen)
-            anchors[entity["id"]] = self.terms[chosen]
-        elif correct:
-            used = (t for i, t in enumerate(self.terms) if i not in free)
-            correct = not any((t.start, t.end) == span for t in used)
-            if correct:  # recognized by the canonicalizer alone: it still can anchor values
-                at = span or (None, None)
-                anchors[entity["id"]] = Term(*at, " ".join(tokens), entity["canonical"], entity["type"])
-        self.tally.add("entity", entity["type"], "tp" if correct else "fn")
-        if not correct and projected and not any(overlaps(projected, t.start, t.end) for t in self.terms):
-            self.tally.add("entity", entity["type"], "fp")
-        self.entity_log.append(
-            {
-                "reference_id": entity["id"], "type": entity["type"], "reference": entity["surface"],
-                "hypothesis": " ".join(tokens), "reference_canonical": entity["canonical"], "hypothesis_canonical": found,
-                "status": "TP" if correct else "FN",
-                "hypothesis_start": span[0] if span else None, "hypothesis_end": span[1] if span else None,
-            }
+            found = scorer.canonicalizer.entity(said.words(span), entity["type"], said.recognizer)
+        right = found == entity["canonical"]
+        if term is None:
+            # Words that the canonicalizer alone understands count unless a used term stands on them; they can anchor values.
+            right = right and not any(u and (t.start, t.end) == span for t, u in zip(said.terms, supply.used))
+            term = Term(*(span or (None, None)), " ".join(said.words(span)), entity["canonical"], entity["type"])
+        elif right:
+            supply.used[choice] = True
+        if right:
+            recovered[entity["id"]] = term
+        # Other words in its place are one more error, unless a term is there that is counted by itself.
+        replaced = not right and image is not None and not any(meet(image, (t.start, t.end)) for t in said.terms)
+        log = partial(_entity_log, entity, " ".join(said.words(span)), found, right, span)
+        verdicts.append(Verdict("entity", entity["type"], ("tp",) if right else ("fn", "fp")[: 1 + replaced], log))
+    for term in supply.rest():
+        verdicts.append(Verdict("entity", term.type, ("fp",), partial(_entity_log, None, term.surface, term.canonical, False, (term.start, term.end))))
+    return verdicts, recovered
+
+
+def extract_slots(said: Said, recovered: dict[str, Term], scorer: Scorer) -> list[Slot]:
+    """Values near the terms, and near recovered words that are no terms."""
+    places = {(t.start, t.end) for t in said.terms}
+    extra = {}
+    for term in recovered.values():
+        if term.start is not None and (term.start, term.end) not in places:
+            extra.setdefault((term.start, term.end), term)
+    found = scorer.slots.extract(said.hyp, [*said.terms, *extra.values()])
+    for slot in found:
+        if not 0 <= slot.start < slot.end <= len(said.hyp) or (slot.anchor_start, slot.anchor_end) not in places | extra.keys():
+            raise ValueError(f"slot recognizer returned an invalid span or anchor: {slot}")
+        scorer.canonicalizer.typed(slot.canonical, slot.type)
+    return found
+
+
+def judge_slots(said: Said, slots: list[dict], expected: dict[str, Any], owners: dict[str, dict], recovered: dict[str, Term], scorer: Scorer) -> list[Verdict]:
+    """A verdict for each annotated value and each extracted one left over.
+
+    A value answers an annotation of its family if it belongs to the same term
+    and stands on its image.  A negation without an image may stand anywhere.
+    """
+    supply, verdicts = Supply(extract_slots(said, recovered, scorer)), []
+    for slot in slots:
+        kind, image, owner = slot["type"], said.image(slot), owners[slot["anchor_entity_id"]]
+        term = recovered.get(owner["id"])
+        home = said.image(owner) if term is None else (term.start, term.end)
+        anywhere = image is None and kind == "NEGATION"
+        related = [s for s in supply.occurrences if family_of(s.type) == family_of(kind) and meet(image, (s.start, s.end))]
+        offers = supply.offers(
+            lambda s: (s.anchor_start, s.anchor_end) == home and family_of(s.type) == family_of(kind) and (anywhere or meet(image, (s.start, s.end)))
         )
-
-    # Slots ------------------------------------------------------------------
-
-    def extracted(self, anchors: dict[str, Term]) -> list[Slot]:
-        pool = list(self.terms)
-        spans = {(t.start, t.end) for t in pool}
-        for term in anchors.values():
-            if (term.start, term.end) not in spans and term.start is not None:
-                pool.append(term)
-                spans.add((term.start, term.end))
-        slots = self.scorer.slots.extract(self.hyp, pool)
-        for s in slots:
-            if not 0 <= s.start < s.end <= len(self.hyp) or (s.anchor_start, s.anchor_end) not in spans:
-                raise ValueError(f"slot recognizer returned an invalid span or anchor: {s}")
-            self.scorer.canonicalizer.typed(s.canonical, s.type)
-        return slots
-
-    def match_slots(self, anchors: dict[str, Term]) -> None:
-        found = self.extracted(anchors)
-        free = list(range(len(found)))
-        by_id = {e["id"]: e for e in self.entities}
-        for slot in self.slots:
-            self._match_slot(slot, by_id[slot["anchor_entity_id"]], found, free, anchors)
-        for i in free:
-            s = found[i]
-            self.tally.add("critical", s.type, "fp")
-            self.slot_log.append(
-                {
-                    "type": s.type, "hypothesis": s.surface, "hypothesis_canonical": as_json(s.canonical), "status": "FP",
-                    "anchor_start": s.anchor_start, "anchor_end": s.anchor_end,
-                }
-            )
-
-    def _match_slot(self, slot: dict, owner: dict, found: list[Slot], free: list[int], anchors: dict[str, Term]) -> None:
-        kind, canon = slot["type"], self.scorer.canonicalizer
-        span = self.alignment.project(slot["ref_start"], slot["ref_end"])
-        anchor = anchors.get(owner["id"])
-        at = (anchor.start, anchor.end) if anchor else self.alignment.project(owner["ref_start"], owner["ref_end"])
-        related = [i for i, s in enumerate(found) if same_kind(s.type, kind)]
-        here = [i for i in related if overlaps(span, found[i].start, found[i].end)]
-        # A negation that is wholly gone may reappear anywhere at its anchor.
-        offers = related if kind == "NEGATION" and span is None else here
-        chosen = next((i for i in offers if i in free and (found[i].anchor_start, found[i].anchor_end) == at), None)
-        if chosen is not None:
-            free.remove(chosen)
-            tokens = self.text(found[chosen].start, found[chosen].end)
-            try:
-                value = canon.typed(found[chosen].canonical, kind)
-            except ValueError:  # such as a number without a unit for a dose
-                value = None
+        if offers:
+            answer = supply.occurrences[offers[0]]
+            supply.used[offers[0]] = True
+            words = said.words((answer.start, answer.end))
+            value = _typed_or_none(scorer, answer.canonical, kind)
         else:
-            tokens = self.text(*span) if span else []
-            value = canon.slot(tokens, kind)
-        elsewhere = chosen is None and bool(here)
-        # Silence about a recovered finding affirms it.
-        present = bool(tokens) or (kind == "NEGATION" and anchor is not None)
-        sound = present and not elsewhere
-        correct = sound and anchor is not None and value is not None and value == self.expected[slot["id"]]
-        self.tally.add("critical", kind, "tp" if correct else "fn")
-        if sound and not correct and (value is not None or chosen is not None):
-            self.tally.add("critical", kind, "fp")
-        self.slot_log.append(
-            {
-                "reference_id": slot["id"], "anchor_entity_id": owner["id"], "type": kind, "reference": slot["surface"],
-                "hypothesis": " ".join(tokens), "reference_canonical": as_json(self.expected[slot["id"]]),
-                "hypothesis_canonical": as_json(value), "anchor_correct": anchor is not None,
-                "status": "TP" if correct else "WRONG" if present else "FN",
-            }
-        )
+            words = said.words(image)
+            value = scorer.canonicalizer.slot(words, kind)
+        # Silence about a recovered finding affirms it; a value that belongs to another term says nothing here.
+        present = bool(words) or (kind == "NEGATION" and term is not None)
+        counts = present and (bool(offers) or not related)
+        right = counts and term is not None and value is not None and value == expected[slot["id"]]
+        wrong = counts and not right and (bool(offers) or value is not None)
+        status = "TP" if right else "WRONG" if present else "FN"
+        log = partial(_slot_log, slot, " ".join(words), expected[slot["id"]], value, term is not None, status)
+        verdicts.append(Verdict("critical", kind, ("tp",) if right else ("fn", "fp")[: 1 + wrong], log))
+    for extra in supply.rest():
+        verdicts.append(Verdict("critical", extra.type, ("fp",), partial(_extra_slot_log, extra)))
+    return verdicts
+
+
+def _entity_log(entity: dict | None, said: str, found: str | None, right: bool, span: Span | None) -> dict:
+    """A row of the entity log; without an entity that of a term left over."""
+    start, end = span or (None, None)
+    row = {"hypothesis": said, "hypothesis_canonical": found, "hypothesis_start": start, "hypothesis_end": end}
+    if entity is None:
+        return row | {"status": "FP"}
+    annotated = {"reference_id": entity["id"], "reference": entity["surface"], "reference_canonical": entity["canonical"]}
+    return annotated | row | {"status": "TP" if right else "FN"}
+
+
+def _slot_log(slot: dict, said: str, expected: Any, value: Any, anchored: bool, status: str) -> dict:
+    return {
+        "reference_id": slot["id"], "anchor_entity_id": slot["anchor_entity_id"], "reference": slot["surface"], "hypothesis": said,
+        "reference_canonical": as_json(expected), "hypothesis_canonical": as_json(value), "anchor_correct": anchored, "status": status,
+    }
+
+
+def _extra_slot_log(slot: Slot) -> dict:
+    return {
+        "hypothesis": slot.surface, "hypothesis_canonical": as_json(slot.canonical), "status": "FP",
+        "anchor_start": slot.anchor_start, "anchor_end": slot.anchor_end,
+    }
+
+
+def _typed_or_none(scorer: Scorer, value: Any, kind: str) -> Any:
+    """None where the value cannot be of this kind, such as a number without a unit for a dose."""
+    try:
+        return scorer.canonicalizer.typed(value, kind)
+    except ValueError:
+        return None
+
+
+def tally(verdicts: list[Verdict]) -> dict[str, Any]:
+    """Events by family and type, in total and by type."""
+    count = Counter((v.family, v.kind, event) for v in verdicts for event in v.events)
+    kinds = sorted({(family, kind) for family, kind, _ in count})
+    by_type = [{"family": f, "type": k} | {event: count[f, k, event] for event in EVENTS} for f, k in kinds]
+    totals = {f"{f}_{event}": sum(r[event] for r in by_type if r["family"] == f) for f in ("entity", "critical") for event in EVENTS}
+    return totals | {"per_type": by_type}
+
 
-    # Result -----------------------------------------------------------------
-
-    def result(self) -> dict[str, Any]:
-        self.match_slots(self.match_entities())
-        medical_ref = {i for e in self.entities for i in range(e["ref_start"], e["ref_end"])}
-        medical_hyp = {i for t in self.terms for i in range(t.start, t.end)}
-        counts = {name: self.alignment.count(op) for name, op in
-                  (("substitutions", SUBSTITUTE), ("deletions", DELETE), ("insertions", INSERT), ("hits", EQUAL))}
-        steps = self.alignment.steps
-        return counts | {
-            "reference_word_count": len(self.ref),
-            "medical_substitutions": sum(op == SUBSTITUTE and r in medical_ref for r, _, op, _ in steps),
-            "medical_deletions": sum(op == DELETE and r in medical_ref for r, _, op, _ in steps),
-            "medical_insertions": sum(op == INSERT and h in medical_hyp for _, h, op, _ in steps),
-            "medical_reference_word_count": len(medical_ref),
-            **self.tally.totals("entity"), **self.tally.totals("critical"),
-            "per_type": self.tally.rows(), "entity_matches": self.entity_log, "critical_matches": self.slot_log,
-            **self.scorer.versions,
-            "ref_tokens": self.ref, "hyp_tokens": self.hyp, "alignment": step_rows(self.alignment),
-        }
+def error_counts(said: Said, entities: list[dict]) -> dict[str, int]:
+    """Edits in all, and those that touch an annotated span or, for insertions, a found term."""
+    in_ref = {i for e in entities for i in range(e["ref_start"], e["ref_end"])}
+    in_hyp = {i for t in said.terms for i in range(t.start, t.end)}
+    whole, medical = Counter(), Counter()
+    for r, h, operation, _ in said.alignment.steps:
+        whole[operation] += 1
+        medical[operation] += h in in_hyp if operation == INSERT else r in in_ref
+    names = {"substitutions": SUBSTITUTE, "deletions": DELETE, "insertions": INSERT}
+    counts = {name: whole[op] for name, op in names.items()} | {f"medical_{name}": medical[op] for name, op in names.items()}
+    return counts | {"hits": whole[EQUAL], "reference_word_count": len(said.ref), "medical_reference_word_count": len(in_ref)}
 
 
 def _decoded(annotations: dict | None) -> dict:
@@ -335,19 +347,19 @@ def score_samples(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
-                rows = [_scored(scorer, sample) for sample in batch.slice(start, 1000).to_pylist()]
+                rows = [_scored(scorer, sample, matches or include_alignment) for sample in batch.slice(start, 1000).to_pylist()]
                 yield pa.RecordBatch.from_pylist([{f: row.get(f) for f in names} for row in rows], schema=arrow)
 
     return samples.select(*columns).mapInArrow(run, ddl)
 
 
-def _scored(scorer: Scorer, sample: dict) -> dict:
+def _scored(scorer: Scorer, sample: dict, detail: bool) -> dict:
     known = {k: sample[k] for k in ("sample_id", "ordinal", "metadata")}
     try:
         fault = next(version_faults(sample, scorer.versions), None)
         if fault:
             raise ValueError(fault)
-        return known | scorer.score(sample["reference"], sample["hypothesis"], _decoded(sample["annotations"]))
+        return known | scorer.score(sample["reference"], sample["hypothesis"], _decoded(sample["annotations"]), detail)
     except (ValueError, TypeError) as error:
         zeros = dict.fromkeys((*schemas.COUNT_FIELDS, *schemas.PRF_FIELDS), 0)
         return known | zeros | scorer.versions | {"error": f"{sample['sample_id']}: {error}"}

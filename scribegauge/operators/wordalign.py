@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +44,8 @@ def align_tokens(ref: Sequence[str], hyp: Sequence[str]) -> Alignment:
     """Minimum-edit alignment with unit costs.
 
     Common ends are matched first.  Ties go, read from the end, to a deletion,
-    then to an insertion, then to the diagonal.  Memory is two bytes per
-    cell of the differing middle; rows are filled as vectors.
+    then to an insertion, then to the diagonal.  Memory is two bits for each
+    cell of the differing middle.
     """
     head = next((i for i, (a, b) in enumerate(zip(ref, hyp)) if a != b), min(len(ref), len(hyp)))
     rest = min(len(ref), len(hyp)) - head
@@ -64,30 +63,35 @@ def align_tokens(ref: Sequence[str], hyp: Sequence[str]) -> Alignment:
 
 
 def _middle(ref: Sequence[str], hyp: Sequence[str]) -> list[str]:
-    codes: dict[str, int] = {}
-    a = np.array([codes.setdefault(t, len(codes)) for t in ref], dtype=np.int64)
-    b = np.array([codes.setdefault(t, len(codes)) for t in hyp], dtype=np.int64)
-    ramp = np.arange(len(b) + 1)
-    row = ramp.copy()
-    deletes = np.zeros((len(a) + 1, len(b) + 1), dtype=bool)
-    inserts = np.zeros_like(deletes)
-    for i, code in enumerate(a, 1):
-        reached = np.append(i, np.minimum(row[1:] + 1, row[:-1] + (b != code)))
-        new = np.minimum.accumulate(reached - ramp) + ramp
-        deletes[i] = new == row + 1
-        inserts[i, 1:] = new[:-1] == row[:-1] - 1
-        row = new
-    moves, i, j = [], len(a), len(b)
+    """Moves between sequences that differ at both ends.
+
+    The table of distances is kept as two bit vectors for each hypothesis token:
+    where its column rises, and where it falls, from one reference token to the
+    next.  They follow from the column before by word-parallel addition.
+    """
+    where: dict[str, int] = {}
+    for i, token in enumerate(ref):
+        where[token] = where.get(token, 0) | 1 << i
+    every = (1 << len(ref)) - 1
+    rises, falls = [every], [0]
+    for token in hyp:
+        rise, fall, same = rises[-1], falls[-1], where.get(token, 0)
+        level = ((same & rise) + rise ^ rise) | same | fall  # no dearer than the diagonal
+        right_up = (fall | every & ~(level | rise)) << 1 | 1
+        right_down = (level & rise) << 1
+        rises.append((right_down | ~(level | right_up)) & every)
+        falls.append(right_up & level & every)
+    moves, i, j = [], len(ref), len(hyp)
     while i and j:
-        if deletes[i, j]:
+        if rises[j] >> i - 1 & 1:
             i -= 1
             moves.append(DELETE)
-        elif inserts[i, j]:
+        elif falls[j - 1] >> i - 1 & 1:
             j -= 1
             moves.append(INSERT)
         else:
             i, j = i - 1, j - 1
-            moves.append(EQUAL if a[i] == b[j] else SUBSTITUTE)
+            moves.append(EQUAL if ref[i] == hyp[j] else SUBSTITUTE)
     return [*[DELETE] * i, *[INSERT] * j, *moves[::-1]]
 
 
