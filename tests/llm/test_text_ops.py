@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scribegauge.llm import decontaminate, html_extract, mixing, quality, tokens, toxicity
 from scribegauge.llm.queries import tokenizer_path
@@ -74,9 +75,7 @@ def test_exponent():
         mixing.solve_exponent(counts)
 
 
-@pytest.mark.parametrize("slice_rows", [2000, 5])
-def test_mixture_spends_its_budgets(spark, monkeypatch, slice_rows):
-    monkeypatch.setattr(mixing, "SLICE_ROWS", slice_rows)
+def test_mixture_spends_its_budgets(spark):
     rng = random.Random(1)
     sizes = {"a": 300, "b": 60, "c": 20, None: 10}
     rows = [(rng.randrange(10**6), " ".join(["w"] * rng.randint(0, 20)) or None, s) for s, n in sizes.items() for _ in range(n)]
@@ -94,6 +93,45 @@ def test_mixture_spends_its_budgets(spark, monkeypatch, slice_rows):
     assert mixing.mix_sources(frame(spark, [(1, None, "s"), (2, "", None)]), max_repetition=2.0).count() == 2
 
 
+def test_mixture_against_brute_force(spark, monkeypatch):
+    """Which rows are taken, and that each stretch has its weights, whatever the number of slices."""
+    rng = random.Random(3)
+    sizes = {"a": 2600, "b": 700, "c": 41}
+    rows = [(i, " ".join(["w"] * rng.randint(0, 9)) or None, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = frame(spark, rows).selectExpr("*", "'x' as epoch", "0 as position")
+    own = [sum(len((t or "").split()) for _, t, x in rows if x == s) for s in sizes]
+    times = dict(zip(sizes, mixing.repetitions(own, mixing.weights(own, mixing.solve_exponent(own, max_repetition=1.7)), None)))
+    orders = {e: {r[0]: r[1] for r in docs.select("doc_id", mixing._order("doc_id", "text", F.lit(e).cast("long"))).collect()} for e in range(2)}
+    expected = set()
+    for (source, r), tokens_of in zip(times.items(), own):
+        whole = int(r + 1e-9)
+        cut, spent = int((r - whole) * tokens_of + 1e-6), 0
+        mine = [(i, len((t or "").split())) for i, t, x in rows if x == source]
+        expected |= {(i, e) for i, _ in mine for e in range(whole)}
+        for i, n in sorted(mine, key=lambda m: (orders[whole][m[0]], m)) if cut else ():
+            spent += n
+            if spent > cut:
+                break
+            expected.add((i, whole))
+    usual = mixing.slice_bits
+    for bits in (usual, lambda n: F.lit(0), lambda n: usual(n) + 5):
+        monkeypatch.setattr(mixing, "slice_bits", bits)
+        got = mixing.mix_sources(docs, max_repetition=1.7)
+        assert got.columns == [*docs.columns[:-2], "n_tokens", "epoch", "position"]
+        got = got.collect()
+        assert len(got) == len(expected) and {(r["doc_id"], r["epoch"]) for r in got} == expected
+        for part in range(4):
+            stretch = [r for r in got if part / 4 <= r["position"] < (part + 1) / 4]
+            share = sum(r["n_tokens"] for r in stretch if r["source"] == "b") / sum(r["n_tokens"] for r in stretch)
+            assert share == pytest.approx(times["b"] * own[1] / sum(times[s] * t for s, t in zip(sizes, own)), abs=0.03)
+
+
+def test_many_sources(spark):
+    rows = [(i, "w " * (1 + i % 5), f"s{i % 700}") for i in range(2100)]
+    got = mixing.mix_sources(frame(spark, rows), target_entropy=6.0).groupBy("source").count()
+    assert got.count() == 700
+
+
 def test_token_counts_match_the_library(spark):
     path = tokenizer_path()
     rng = random.Random(6)
