@@ -1,6 +1,7 @@
 """Decontamination, mixing, tokens, toxicity, quality and extraction."""
 
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -51,6 +52,36 @@ def test_matches_against_full_alignment():
             assert found[0][3] == edits == substring_distance(item, text[found[0][1] : found[0][2]])
 
 
+def test_short_items_keep_their_budget():
+    rng = random.Random(12)
+    for length in (*range(8, 48), 200):
+        for _ in range(4):
+            item = "".join(rng.choice("abcdefghij") for _ in range(length))
+            noisy = list(item)
+            for at in rng.sample(range(length), length // 10):
+                noisy[at] = "x"
+            found = decontaminate.Index.build([(1, item)]).search("pad " + "".join(noisy) + " pad")
+            assert found and found[0][3] == substring_distance(item, "".join(noisy))
+
+
+def test_repetitive_items_and_texts():
+    rng = random.Random(13)
+    for _ in range(60):
+        unit = "".join(rng.choice("ab ") for _ in range(rng.randint(1, 3))).strip() or "a"
+        item = decontaminate.normalise(" ".join([unit] * rng.randint(3, 40)))
+        noisy = "".join(rng.choice("xa") if rng.random() < 0.08 else c for c in item * rng.randint(1, 2))
+        text = decontaminate.normalise("b b " + noisy + " a")
+        found = decontaminate.Index.build([(1, item)]).search(text)
+        edits = substring_distance(item, text)
+        assert bool(found) == (edits <= decontaminate.edit_budget(len(item)))
+        assert not found or found[0][3] == edits == substring_distance(item, text[found[0][1] : found[0][2]])
+    began = time.time()
+    item, text = " ".join(["word"] * 400), " ".join(["word"] * 390 + ["other"]) + " "
+    assert decontaminate.Index.build([(1, item)]).search(decontaminate.normalise(text * 30))[0][3] <= 199
+    assert decontaminate.Index.build([(1, "ab" * 500_000)]).search("ab" * 30_000) == []
+    assert time.time() - began < 60
+
+
 def test_decontamination_of_tables(spark, monkeypatch):
     item = "the quick brown fox jumps over the lazy dog and runs far away into the dark wood"
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, item), (5, "kurz")], "item_id long, text string")
