@@ -16,20 +16,22 @@ from pyspark.sql import functions as F
 from ..runtime import checkpointed, ensure_checkpoint_dir
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, release: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it back.
 
     Unlike a checkpoint it is compressed and read by column.  The files are
-    deleted by ``free``, or when the driver's Python ends.  Shuffle files that led to the table
-    are needed no more; Spark drops them when the driver collects its garbage,
-    which is asked for here, as a long job would else keep them all.
+    deleted by ``free``, or when the driver's Python ends.  Shuffle files that
+    led to the table are needed no more; Spark drops them when the driver
+    collects its garbage, which ``release`` asks for after a large shuffle, as a
+    long job would else keep them all.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    gc.collect()
-    spark._jvm.System.gc()
+    if release:
+        gc.collect()
+        spark._jvm.System.gc()
     table = spark.read.schema(df.schema).parquet(path)
     table._saved_at = path
     return table
