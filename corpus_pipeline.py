@@ -8,6 +8,7 @@ columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scribegauge.llm import decontaminate, line_dedup, mixing, simhash, toxicity
 from scribegauge.llm.runtime import read_table, saved
@@ -19,8 +20,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove lines that repeat earlier ones, and documents of which nothing is left."""
-    return line_dedup.remove_later_lines(docs, min_words=line_dedup.EVERY_LINE)
+    """Remove lines that repeat earlier ones, and documents of which nothing is left; ``n_chars`` follows the text."""
+    kept = line_dedup.remove_later_lines(docs, min_words=line_dedup.EVERY_LINE)
+    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = saved(docs)
+            docs = saved(docs, release=True)
     return docs
