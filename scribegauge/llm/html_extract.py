@@ -10,7 +10,9 @@ one whose text varies is content.  Pages with the same text count once.  Slots
 seen on too few pages are undecided; where the page marks its article
 (``article`` or ``main``) the mark decides them, else they are kept.  Elements
 that say what they are (menus, headers, footers, forms, adverts, notices,
-comments and so on) are never content.
+comments and so on) are never content, but the headings in an article's header
+are.  A block has the slot of its block element, whatever inline elements are in
+it; inline elements that are no content leave the block in one piece.
 
 Statistics cover all pages: three scans, one aggregation by host of the trees
 grown inside each task, one by (host, slot) with partial sums, and joins of one
@@ -21,8 +23,8 @@ which a reference grows, and so which of several equally large matches is taken.
 Defined results: null html gives an empty text; a null or host-less url has no
 wrapper, so only the element roles count; broken markup, open elements and cut
 tags are closed as browsers do; repeated rows are extracted each; an empty
-table gives no rows; extra columns are ignored.  Elements nested deeper than
-``MAX_DEPTH`` are not aligned, but their text is extracted like any other.
+table gives no rows; extra columns are ignored.  Text nested deeper than
+``MAX_DEPTH`` is part of the slot around it there.
 """
 
 from __future__ import annotations
@@ -41,7 +43,8 @@ from pyspark.sql import functions as F
 from .runtime import broadcast_if_small, checkpointed, map_rows
 from .url_filter import url_host
 
-MAX_DEPTH = 64
+#: Elements nested deeper belong to the slot of the one they are in at this depth.
+MAX_DEPTH = 200
 #: Different pages from which on a slot is decided: template with one text, content with several.
 MIN_PAGES = 3
 
@@ -78,6 +81,7 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORD = re.compile(r"[A-Za-z]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that no class, id or role takes out.
 WHOLE = frozenset("html body main article".split())
 
@@ -110,40 +114,48 @@ def _role(tag: str, attrs: str) -> tuple[str, bool, bool]:
     return tag + named, tag in NEVER, marked and tag not in WHOLE
 
 
+class Open(NamedTuple):
+    """An open element: whether its text is never content, or only that of headings is, and where it stands."""
+
+    tag: str
+    never: bool
+    headings_only: bool
+    around: tuple[int, ...]  # marked elements
+    main: bool
+    slot: int
+    block: int  # slot of the block that it is in
+
+
 def parse(html: str) -> Page:
     page = Page()
-    # Open elements: tag, (never content, marked elements around), inside main, slot.
-    stack: list[tuple[str, tuple[bool, tuple[int, ...]], bool, int]] = [("#root", (False, ()), False, 0)]
-    parts: list[str] = []
-    holder: tuple[tuple[bool, tuple[int, ...]], bool, int] = ((False, ()), False, 0)
+    stack = [Open("#root", False, False, (), False, 0, 0)]
+    parts: list[tuple[str, tuple[int, ...]]] = []
+    holder = (False, 0)
     marks = 0
     cleared: set[int] = set()  # marked elements that hold an article or main
-    blocks: list[tuple[str, bool, int, tuple[int, ...]]] = []
+    blocks: list[tuple[list[tuple[str, tuple[int, ...]]], bool, int]] = []
 
     def flush() -> None:
         nonlocal parts
         if parts:
-            text = " ".join("".join(parts).split())
-            if text and not holder[0][0]:
-                blocks.append((text, holder[1], holder[2], holder[0][1]))
+            blocks.append((parts, *holder))
             parts = []
 
     def add(raw: str) -> None:
         nonlocal holder
+        top = stack[-1]
         if not raw:
             return
-        tag, off, main, slot = stack[-1]
-        text = unescape(raw) if "&" in raw else raw
+        if top.never or top.headings_only:
+            if parts:
+                parts.append((" ", ()))
+            return
         if not parts:
-            holder = (off, main, slot)
-        elif off != holder[0]:
-            flush()
-            holder = (off, main, slot)
-        parts.append(text)
+            holder = (top.main, top.block)
+        parts.append((unescape(raw) if "&" in raw else raw, top.around))
 
     def close_to(depth: int) -> None:
-        nonlocal parts
-        if any(entry[0] in BLOCK for entry in stack[depth:]):
+        if any(entry.tag in BLOCK for entry in stack[depth:]):
             flush()
         del stack[depth:]
 
@@ -160,7 +172,7 @@ def parse(html: str) -> Page:
         tag = found[2].lower()
         if found[1]:
             for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
+                if stack[depth].tag == tag:
                     close_to(depth)
                     break
             else:
@@ -169,22 +181,22 @@ def parse(html: str) -> Page:
             continue
         if tag == "br":
             if parts:
-                parts.append(" ")
+                parts.append((" ", ()))
             continue
         if tag in BLOCK:
             for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == "p":
+                if stack[depth].tag == "p":
                     close_to(depth)
                     break
-                if stack[depth][0] in SCOPE:
+                if stack[depth].tag in SCOPE:
                     break
             flush()
         for closed in CLOSES.get(tag, ()):
             for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == closed:
+                if stack[depth].tag == closed:
                     close_to(depth)
                     break
-                if stack[depth][0] in SCOPE and stack[depth][0] not in ("td", "th"):
+                if stack[depth].tag in SCOPE and stack[depth].tag not in ("td", "th"):
                     break
         if tag in VOID:
             continue
@@ -195,8 +207,9 @@ def parse(html: str) -> Page:
                 close = html.find(">", at)
                 at = size if close < 0 else close + 1
             continue
-        label, off, marked = _role(tag, found[3])
-        _, (was_off, around), was_main, slot = stack[-1]
+        label, never, marked = _role(tag, found[3])
+        outer = stack[-1]
+        around, slot, headings_only = outer.around, outer.slot, outer.headings_only and tag not in HEADINGS
         if marked:
             marks += 1
             around = (*around, marks)
@@ -204,13 +217,19 @@ def parse(html: str) -> Page:
             page.labels.append(label)
             page.parents.append(slot)
             slot = len(page.labels) - 1
-        is_main = tag in ("article", "main") and not off and not was_off
+        if tag == "header" and outer.main and not outer.never:
+            never, headings_only = False, True  # it holds the title of the article
+        never = never or outer.never
+        is_main = tag in ("article", "main") and not never
         page.has_main = page.has_main or is_main
         if is_main:
             cleared.update(around)
-        stack.append((tag, (off or was_off, around), is_main or was_main, slot))
+        stack.append(Open(tag, never, headings_only, around, is_main or outer.main, slot, slot if tag in BLOCK else outer.block))
     flush()
-    page.blocks = [(text, main, slot) for text, main, slot, around in blocks if cleared.issuperset(around)]
+    for held, main, slot in blocks:
+        text = " ".join("".join(text for text, around in held if cleared.issuperset(around)).split())
+        if text:
+            page.blocks.append((text, main, slot))
     return page
 
 

@@ -1,5 +1,7 @@
 """Extraction: role words, wrappers that decide, and grown references."""
 
+import random
+
 from scribegauge.llm import html_extract
 
 
@@ -42,3 +44,51 @@ def test_merged_tree_holds_both():
     merged = html_extract.merge_trees(*shapes)
     for shape in shapes:
         assert -1 not in html_extract.simple_tree_matching(shape, merged)
+
+
+def test_blocks_stay_whole():
+    main_text = html_extract.main_text
+    assert main_text("<p>foo <button>x</button> bar</p>") == "foo bar"
+    assert main_text("<p>foo <span class='ad'>buy</span> bar</p><div class='ad'>x <b>y</b></div>z") == "foo bar\n\nz"
+    assert main_text("<header>site</header><article><header><h1>Title</h1><p>by me</p></header><p>text</p></article>") == "Title\n\ntext"
+    assert main_text("<div>" * 500 + "deep" + "</div>" * 500) == "deep"
+
+
+def test_a_block_has_its_own_slot(spark):
+    assert texts(spark, [f"<body><p><b>Note:</b> text {i}</p></body>" for i in range(4)]) == [f"Note: text {i}" for i in range(4)]
+
+
+def largest_match(one, two):
+    """Size of the largest order-preserving match of two trees ``(label, children)``, told plainly."""
+    if one[0] != two[0]:
+        return 0
+    best = [[0] * (len(two[1]) + 1) for _ in range(len(one[1]) + 1)]
+    for i, x in enumerate(one[1], 1):
+        for j, y in enumerate(two[1], 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + largest_match(x, y))
+    return best[-1][-1] + 1
+
+
+def test_tree_matching_against_brute_force():
+    rng = random.Random(8)
+
+    def tree(depth):
+        return rng.choice("ab"), [tree(depth - 1) for _ in range(rng.randint(0, 3))] if depth else []
+
+    def shape(root):
+        lines = []
+
+        def write(node, parent):
+            lines.append(f"{parent} {node[0]}")
+            at = len(lines) - 1
+            for child in node[1]:
+                write(child, at)
+
+        write(root, -1)
+        return "\n".join(lines)
+
+    for _ in range(300):
+        one, two = ("#root", tree(3)[1]), ("#root", tree(3)[1])
+        mapped = html_extract.simple_tree_matching(shape(one), shape(two))
+        used = [m for m in mapped if m >= 0]
+        assert len(used) == len(set(used)) == largest_match(one, two) and used == sorted(used)
