@@ -17,6 +17,7 @@ from .functions.numerals import number_dimension
 from .functions.rates import with_rates
 from .functions.text import normalize_text, tokens
 from .functions.values import as_json, read_value
+from .operators import resample
 from .operators.checks import violation_column
 from .operators.lexicon import Lexicon, detect_terms, terminology_keys
 from .operators.resample import bootstrap_interval, with_clusters
@@ -39,6 +40,11 @@ def _drug(shift: int = 0) -> Column:
     return F.get(F.array(*map(F.lit, DRUGS)), ((F.col("l_partkey") + shift) % 4).cast("int"))
 
 
+def _ordinal() -> Column:
+    """A number of the row that does not depend on how rows are spread over tasks."""
+    return ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * (1 << 20) + F.col("l_partkey")) * (1 << 10) + F.col("l_suppkey")
+
+
 def template_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One annotated sample per row of ``lineitem``; the error class is ``(l_orderkey + l_linenumber) % 8``."""
     lines = table(spark, sf_dir, "lineitem").select(
@@ -78,7 +84,7 @@ def template_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return lines.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("sample_id"),
-        F.monotonically_increasing_id().alias("ordinal"), reference.alias("reference"), hypothesis.alias("hypothesis"),
+        _ordinal().alias("ordinal"), reference.alias("reference"), hypothesis.alias("hypothesis"),
         F.struct(entities.alias("entities"), slots.alias("critical_slots")).alias("annotations"),
         F.to_json(F.struct(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_suppkey").alias("speaker"))).alias("metadata"),
         F.lit(schemas.SCHEMA_VERSION).alias("schema_version"),
@@ -152,8 +158,11 @@ def annotation_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    interval = bootstrap_interval(template_results(spark, sf_dir), "critical_f1", 200, seed=7)
-    return spark.createDataFrame([interval.to_dict()], "metric string, estimate double, lower double, upper double, confidence double, n_resamples long, seed long, cluster_by string")
+    """Interval of critical F1 by clusters of a speaker, with arithmetic draws."""
+    interval = bootstrap_interval(template_results(spark, sf_dir), "critical_f1", 200, seed=7, cluster_by="speaker", draws="hashed")
+    names = ("estimate", "lower", "upper")
+    row = [(interval.metric, *(round(getattr(interval, n), 9) for n in names), interval.n_resamples, interval.cluster_by)]
+    return spark.createDataFrame(row, "metric string, estimate double, lower double, upper double, n_resamples long, cluster_by string")
 
 
 # Free text ------------------------------------------------------------------
@@ -344,8 +353,25 @@ _SMALL_SQL = (
     "('sechzig',60),('siebzig',70),('achtzig',80),('neunzig',90)"
 )
 
+def _bootstrap_sql(resamples: int = 200, seed: int = 7) -> str:
+    a, b, c, d = resample.FACTORS
+    p = resample.PRIME
+    times = " + ".join(f"CAST(x >= {step} AS BIGINT)" for step in resample.poisson_steps())
+    counts = ", ".join(_sum(f"critical_{x}") for x in ("tp", "fp", "fn"))
+    rate = "2 * sum({0}critical_tp) / CAST(sum({0}(2 * critical_tp + critical_fp + critical_fn)) AS DOUBLE)"
+    return f"""WITH clusters AS (SELECT min(((l_orderkey * 8 + l_linenumber) * 1048576 + l_partkey) * 1024 + l_suppkey) AS k, {counts}
+          FROM {_CLASSES} GROUP BY l_suppkey),
+        first AS (SELECT *, (k % {p} * {a} + (r + 1) * {b} + {seed * c}) % {p} AS x FROM clusters, (SELECT unnest(range({resamples})) AS r)),
+        second AS (SELECT * REPLACE ((x * x % {p} + x * {d}) % {p} AS x) FROM first),
+        drawn AS (SELECT * REPLACE ((x * x % {p} + x * {a}) % {p} AS x) FROM second),
+        rates AS (SELECT r, {rate.format("n * ")} AS f FROM (SELECT *, {times} AS n FROM drawn) GROUP BY r)
+        SELECT 'critical_f1' AS metric, round((SELECT {rate.format("")} FROM clusters), 9) AS estimate, round(quantile_cont(f, 0.025), 9) AS lower,
+          round(quantile_cont(f, 0.975), 9) AS upper, CAST({resamples} AS BIGINT) AS n_resamples, 'speaker' AS cluster_by FROM rates"""
+
+
 ORACLE_SQL = {
     "scores_corpus": _scores(),
+    "bootstrap": _bootstrap_sql(),
     "scores_by_flag": _scores("l_returnflag AS label"),
     "scores_grouping_sets": " UNION ALL ".join(
         f"SELECT {g} AS group_by, {label} AS label, * EXCLUDE (k) FROM ({_scores(key + ' AS k')})"

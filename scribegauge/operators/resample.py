@@ -1,14 +1,18 @@
 """Clusters of samples and bootstrap confidence intervals.
 
-Results are summed once by cluster.  Small corpora draw with Python's random
-generator on the driver (index lists only, so a seed reproduces the draws);
-larger ones draw by Poisson counts per (resample, cluster) from a hash, which
-needs no list of draws and one aggregation by resample.
+Results are summed once by cluster.  By default the draws come from Python's
+random generator on the driver, as lists of cluster numbers, so a seed
+reproduces them.  With ``draws="hashed"`` each cluster enters a resample a
+Poisson(1) number of times that arithmetic on cluster, resample and seed gives:
+that is one scan of the clusters and one aggregation by resample, for any
+number of clusters, and does not depend on the partitioning.  The form is
+chosen by the caller, never by the size.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import random
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
@@ -25,8 +29,11 @@ from ..functions.values import canonical_json
 from .graph import connected_components
 from .rollup import sums
 
-#: Most clusters whose sums are drawn on the driver.
-DRIVER_CLUSTERS = 100_000
+DRAWS = ("seeded", "hashed")
+#: Modulus and factors of the arithmetic draws.
+PRIME, FACTORS = 2_147_483_647, (48_271, 69_621, 16_807, 40_692)
+#: Clusters whose draws are held at once.
+CLUSTERS_AT_ONCE = 1_000
 FIELDS = (*COUNT_FIELDS, *PRF_FIELDS)
 
 
@@ -93,17 +100,19 @@ def _metric_check(metric: str, n_resamples: int, confidence: float) -> None:
 
 def bootstrap_interval(
     results: DataFrame, metric: str = "mt_wer", n_resamples: int = 1000, seed: int | None = None,
-    confidence: float = 0.95, cluster_by: str | None = None, driver_clusters: int = DRIVER_CLUSTERS,
+    confidence: float = 0.95, cluster_by: str | None = None, draws: str = "seeded",
 ) -> Interval:
     """Percentile interval of a corpus rate under resampling of whole clusters."""
     _metric_check(metric, n_resamples, confidence)
+    if draws not in DRAWS:
+        raise ValueError(f"draws must be one of {DRAWS}")
     by_cluster = with_clusters(results, cluster_by).groupBy("cluster").agg(*sums()).persist()
     try:
         n = by_cluster.count()
         if not n:
             raise ValueError("bootstrap needs at least one sample")
         estimate = with_rates(by_cluster.agg(*sums())).first()[metric]
-        if n <= driver_clusters:
+        if draws == "seeded":
             values = _exact_draws(by_cluster, metric, n_resamples, seed)
         else:
             drawn = hash_draws(by_cluster, n_resamples, 0 if seed is None else seed)
@@ -123,22 +132,42 @@ def _exact_draws(by_cluster: DataFrame, metric: str, n_resamples: int, seed: int
     return sorted(values)
 
 
+def poisson_steps() -> list[int]:
+    """Numbers below ``PRIME`` from which on a draw counts once more, twice more and so on."""
+    steps, share = [], math.exp(-1)
+    total = share
+    while PRIME * total < PRIME - 1:
+        steps.append(int(PRIME * total))
+        share /= len(steps)
+        total += share
+    return steps
+
+
+def poisson_times(cluster: np.ndarray, resample: np.ndarray, seed: int) -> np.ndarray:
+    """How often each cluster (rows) enters each resample (columns); all numbers fit 64 bits."""
+    a, b, c, d = FACTORS
+    x = (cluster[:, None] % PRIME * a + (resample[None, :] + 1) * b + seed % PRIME * c) % PRIME
+    x = (x * x % PRIME + x * d) % PRIME
+    x = (x * x % PRIME + x * a) % PRIME
+    return np.searchsorted(np.array(poisson_steps()), x.ravel(), side="right").reshape(x.shape)
+
+
 def hash_draws(by_cluster: DataFrame, n_resamples: int, seed: int) -> DataFrame:
     """``resample`` and summed counts: each cluster enters a resample a Poisson(1) number of times.
 
-    The number follows from a generator seeded by cluster and seed, so it does
-    not depend on the partitioning.  A task sends one partial row per resample.
+    A task sends one partial row per resample.
     """
     arrow = pa.schema([("resample", pa.int32())] + [(f, pa.int64()) for f in FIELDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n_resamples, len(FIELDS)), dtype=np.int64)
+        total, resamples = np.zeros((n_resamples, len(FIELDS)), dtype=np.int64), np.arange(n_resamples)
         for batch in batches:
             counts = np.stack([batch.column(f).to_numpy() for f in FIELDS], axis=1)
-            for cluster, row in zip(batch.column("cluster").to_pylist(), counts):
-                times = np.random.default_rng([seed, cluster]).poisson(1.0, n_resamples)
-                total += times[:, None] * row
-        columns = [pa.array(np.arange(n_resamples, dtype=np.int32)), *(pa.array(total[:, i]) for i in range(len(FIELDS)))]
+            clusters = batch.column("cluster").to_numpy()
+            for i in range(0, len(clusters), CLUSTERS_AT_ONCE):
+                part = slice(i, i + CLUSTERS_AT_ONCE)
+                total += poisson_times(clusters[part], resamples, seed).T @ counts[part]
+        columns = [pa.array(resamples.astype(np.int32)), *(pa.array(total[:, i]) for i in range(len(FIELDS)))]
         yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     ddl = "resample int, " + ", ".join(f"{f} long" for f in FIELDS)

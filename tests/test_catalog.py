@@ -16,7 +16,7 @@ def plain(value):
 
 @pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
 @pytest.mark.parametrize(
-    "name", ["scores_grouping_sets", "scores_by_type", "normalized_documents", "wer_by_role", "detected_terms", "slot_values", "annotation_violations"]
+    "name", ["scores_grouping_sets", "scores_by_type", "normalized_documents", "wer_by_role", "detected_terms", "slot_values", "annotation_violations", "bootstrap"]
 )
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()

@@ -61,7 +61,7 @@ def test_clusters_and_bootstrap(report):
     first = report.bootstrap(metric="wer", n_resamples=50, seed=3, cluster_by="speaker_ids")
     assert first == report.bootstrap(metric="wer", n_resamples=50, seed=3, cluster_by="speaker_ids")
     assert first.lower <= first.estimate <= first.upper and first.estimate == 0.2
-    large = report.bootstrap(metric="wer", n_resamples=50, seed=3, driver_clusters=0)
+    large = report.bootstrap(metric="wer", n_resamples=50, seed=3, draws="hashed")
     assert 0 <= large.lower <= large.upper
     for options in ({"metric": "x"}, {"n_resamples": 0}, {"n_resamples": True}, {"confidence": 1}):
         with pytest.raises(ValueError):
