@@ -35,9 +35,8 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame(
-        [(-1, 0, "user", planted), (-1, 1, "assistant", planted)], "conv_id long, turn long, role string, text string"
-    )
+    rows = F.array(*(F.struct(F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role")) for i, role in enumerate(("user", "assistant"))))
+    extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.inline(rows), F.lit(planted).alias("text"))
     return chat_format.chat_digest(chat_format.format_chat(turns.unionByName(extra)))
 
 
@@ -105,18 +104,24 @@ def _url_host(url: str) -> str:
     return f"translate({_url_part(url, '([^/?#]*)')}, '{_UPPER}', '{_LOWER}')"
 
 
+_PATH = "[^/?#]*([^?#]*)"
+
+
 def _url_key(url: str) -> str:
-    return f"nullif({_url_host(url)} || {_url_part(url, '[^/?#]*([^#]*)')}, '')"
+    path = _url_part(url, _PATH)
+    parts = f"list_transform(string_split(CASE WHEN regexp_matches({path}, '/\\.\\.?$') THEN {path} || '/' ELSE {path} END, '/'), lambda x: [x])"
+    kept = f"""list_reduce({parts}, lambda kept, x: CASE x[1] WHEN '..' THEN kept[1:greatest(len(kept) - 1, 1)] WHEN '.' THEN kept ELSE kept || x END)"""
+    dotless = f"CASE WHEN contains({path}, '/.') THEN array_to_string({kept}, '/') ELSE {path} END"
+    return f"nullif({_url_host(url)} || {dotless} || {_url_part(url, '[^?#]*([^#]*)')}, '')"
 
 
-_PATH = "[^/?#]*([^?#]*)"
 _TAG = """regexp_extract(list_filter(regexp_extract_all(coalesce(html, ''), '(?is)<{tag}\\b[^>]*>'),
     lambda x: regexp_matches(x, '(?i)\\b{mark}'))[1], '(?i)\\b{at}\\s*=\\s*["'']?([^"''\\s>]+)', 1)"""
 _CANONICAL = _TAG.format(tag="link", mark="rel\\s*=\\s*[\"'']?canonical\\b", at="href")
 _REFRESH = _TAG.format(tag="meta", mark="http-equiv\\s*=\\s*[\"'']?refresh\\b", at="url")
 
 _URL_SQL = f"""WITH RECURSIVE found AS (
-    SELECT url, unnest([{_CANONICAL}, {_REFRESH}]) AS target FROM pages),
+    SELECT url, regexp_replace(unnest([{_CANONICAL}, {_REFRESH}]), '(?i)&(amp|#38|#x26);', '&', 'g') AS target FROM pages),
   resolved AS (SELECT url, CASE WHEN contains(target, '://') THEN target WHEN starts_with(target, '//') THEN 'http:' || target
       WHEN starts_with(target, '/') THEN 'http://' || {_url_host("url")} || target
       ELSE 'http://' || {_url_host("url")} || coalesce(nullif(regexp_replace({_url_part("url", _PATH)}, '[^/]*$', ''), ''), '/') || target END AS target

@@ -9,8 +9,9 @@ always takes precedence over what the class would propagate.
 Defined results: a null or scheme-less url has empty host and path, no rule
 and verdict ``allow`` unless a rule with an empty host is given; repeated rows
 are judged alike, one output row per input row; an empty table gives an empty
-result; other columns of the input pass through untouched, and working columns
-have reserved names that start with ``_uf_``.
+result; columns ``host, path, rule, verdict`` of the input are replaced, other
+columns pass through untouched, and working columns have reserved names that
+start with ``_uf_``.
 """
 
 from __future__ import annotations
@@ -58,9 +59,21 @@ def url_path(url: Column) -> Column:
     return _part(url, "[^/?#]*([^?#]*)")
 
 
+def without_dots(path: Column) -> Column:
+    """The path without its ``.`` and ``..`` segments, as browsers ask for it."""
+
+    def step(kept: Column, part: Column) -> Column:
+        up = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))
+        return F.when(part == "..", up).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+
+    ended = F.when(path.rlike(r"/\.\.?$"), F.concat(path, F.lit("/"))).otherwise(path)
+    parts = F.aggregate(F.split(ended, "/"), F.array().cast("array<string>"), step)
+    return F.when(path.contains("/."), F.array_join(parts, "/")).otherwise(path)
+
+
 def url_key(url: Column) -> Column:
-    """Identity of a URL for equivalence: host, path and query, without scheme and fragment."""
-    return F.nullif(F.concat(url_host(url), _part(url, "[^/?#]*([^#]*)")), F.lit(""))
+    """Identity of a URL for equivalence: host, path without dot segments, and query; no scheme or fragment."""
+    return F.nullif(F.concat(url_host(url), without_dots(url_path(url)), _part(url, "[^?#]*([^#]*)")), F.lit(""))
 
 
 def match_rule(host: Column, path: Column, rules: Sequence[UrlRule]) -> Column:
@@ -87,7 +100,7 @@ def html_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         F.col(url_col).alias("_uf_url"),
         F.explode(F.array(canonical, refresh)).alias("_uf_to"),
     ).where("_uf_to != ''")
-    own, to = F.col("_uf_url"), F.col("_uf_to")
+    own, to = F.col("_uf_url"), F.regexp_replace("_uf_to", "(?i)&(amp|#38|#x26);", "&")
     host, folder = url_host(own), F.regexp_replace(url_path(own), "[^/]*$", "")
     absolute = (
         F.when(to.contains("://"), to)

@@ -2,8 +2,11 @@
 
 import hashlib
 
+import duckdb
+from pyspark.sql import functions as F
+
 from scribegauge.llm import chat_format, url_filter
-from scribegauge.llm.queries import URL_RULES
+from scribegauge.llm.queries import URL_RULES, _url_key
 from scribegauge.operators.graph import connected_components
 
 PAGES = "page_id long, url string, html string, rule string"
@@ -52,6 +55,27 @@ def test_edges_from_html(spark):
     assert got == {("a.net/x/y", "a.net/z"), ("a.net/q", "b.net/r"), ("a.net/x/y", "a.net/x/w")}
 
 
+def test_targets_are_resolved(spark):
+    hrefs = ["http://b.net/t?p=1&amp;q=2&#38;r", "../z", "./z/../w", "../../../up", "/a/b/..", "q?x=../y", "..z", "/.well-known/a"]
+    rows = [(i, "http://a.net/x/y/page", f'<link rel="canonical" href="{h}">', "") for i, h in enumerate(hrefs)]
+    got = [r["dst"] for r in sorted(url_filter.html_edges(spark.createDataFrame(rows, PAGES)).collect(), key=lambda r: r["dst"])]
+    want = ["b.net/t?p=1&q=2&r", "a.net/x/z", "a.net/x/y/w", "a.net/up", "a.net/a/", "a.net/x/y/q?x=../y", "a.net/x/y/..z", "a.net/.well-known/a"]
+    assert got == sorted(want)
+    con = duckdb.connect()
+    urls = ["http://h/a/./b/../c?d", "http://h/..", "h", None, "http://h", "http://H/x?y#z", "http://h/a/..?q"]
+    con.execute("create table t as select unnest(?::varchar[]) as url", [urls])
+    sql = [r[0] for r in con.execute(f"select {_url_key('url')} from t").fetchall()]
+    keys = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string").select("i", url_filter.url_key(F.col("url")).alias("k"))
+    assert [r["k"] for r in sorted(keys.collect())] == sql == ["h/a/c?d", "h/", None, None, "h", "h/x?y", "h/?q"]
+
+
+def test_clashing_columns_are_replaced(spark):
+    pages = spark.createDataFrame([(1, "http://x.com/de/1", None, "own")], PAGES)
+    assert url_filter.judge_urls(pages, URL_RULES).first().asDict() == {
+        "page_id": 1, "url": "http://x.com/de/1", "html": None, "rule": "com/de/", "host": "x.com", "path": "/de/1", "verdict": "block",
+    }
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(20, 40)] + [(5, 5), (7, 3), (3, 7), (None, 1), (100, 20)]
     got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(chain, "src long, dst long")).collect()}
