@@ -151,10 +151,9 @@ def train(texts: list[str], labels: list[int], langs: list[str | None], seed: in
     model.filters, (model.bias, model.out, model.out_bias) = rest[: len(WIDTHS)], rest[len(WIDTHS) :]
     z = _logits(model, docs, rows, held)
     model.scale = _platt(z, y[held])
-    everywhere = model.probability(_logits(model, docs, rows, np.arange(len(docs))))
-    for lang in {x for x in langs if x is not None}:
-        here = np.array([x == lang for x in langs])
-        model.thresholds[lang] = _threshold(everywhere[here], y[here])
+    probable, told = model.probability(z), np.array([langs[i] or "" for i in held])
+    for lang in {x for x in langs if x is not None}:  # on texts that the model was not trained on
+        model.thresholds[lang] = _threshold(probable[told == lang], y[held][told == lang])
     return model
 
 
