@@ -212,6 +212,53 @@ def test_score_does_not_depend_on_chunks():
     assert score(long + " bad thing") == pytest.approx(score("a b c a b c bad thing"), abs=1e-6)
 
 
+def test_score_against_a_plain_model():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["fine", "good", "day", "awful", "curse"]) for _ in range(rng.randint(0, 12))) for _ in range(80)]
+    model = toxicity.train(texts, [int("awful curse" in t) for t in texts], ["en"] * 80)
+    score = toxicity.Scorer(model)
+    for text in [*texts[:20], "", "unseen words of every kind", "ß \u2028 x"]:
+        vectors = [np.mean([model.table[r] for r in toxicity.word_rows(w)], axis=0) for w in text.split()]
+        vectors += [np.zeros(toxicity.DIM)] * max(toxicity.WIDTHS)
+        pooled = []
+        for weights in model.filters:
+            found = [sum(vectors[p + k] @ weights[k] for k in range(len(weights))) for p in range(len(vectors) - max(toxicity.WIDTHS) + 1)]
+            pooled.append(np.max(found, axis=0))
+        z = float(np.maximum(np.concatenate(pooled) + model.bias, 0) @ model.out) + model.out_bias
+        a, b = model.scale
+        assert score(text) == pytest.approx(1 / (1 + np.exp(-(a * z + b))), abs=1e-4)
+
+
+def test_log_ratio_and_threshold_against_brute_force(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh"[: 4 + 4 * (i % 3 == 0)]) * rng.randint(1, 4) for _ in range(rng.randint(12, 40))) for i in range(240)] + [None, "abc"]
+    docs = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    marks = {i: int(i % 3 != 0) for i in range(0, 240, 2)}
+    labels = spark.createDataFrame([(i, q, 0) for i, q in marks.items()], LABELS)
+    aside = {r[0] for r in docs.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(quality.ASIDE)) == 0).select("doc_id").collect()}
+    grams = [quality.gram_buckets((t or "").encode()).tolist() for t in texts]
+    raw, trusted = Counter(), Counter()
+    for i, found in enumerate(grams):
+        raw.update(found)
+        if marks.get(i) and i not in aside:
+            trusted.update(found)
+    cells = 1 << quality.BITS
+
+    def share(counts, bucket):
+        return (counts[bucket] + 0.5) / (sum(counts.values()) + 0.5 * cells)
+
+    ratio = {b: np.log(share(trusted, b)) - np.log(share(raw, b)) for b in raw}
+    scores = [np.mean([ratio[b] for b in found]) if found else 0.0 for found in grams]
+    got = {r["doc_id"]: r for r in quality.judge_quality(docs, labels).collect()}
+    sound = [i for i in marks if not got[i]["base_failed"]]
+    low = np.percentile([scores[i] for i in sound if marks[i] and i in aside], 100 * (1 - quality.KEEP_TRUSTED))
+    high = np.percentile([scores[i] for i in sound if not marks[i]], 100 * quality.KEEP_TRUSTED)
+    cut = (low + high) / 2 if high < low else low
+    for i, row in got.items():
+        assert row["score"] == pytest.approx(scores[i], abs=1e-9)
+        assert row["kept"] == (not row["base_failed"] and scores[i] >= cut) or abs(scores[i] - cut) < 1e-9
+
+
 def brute_repeats(words):
     seen = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
     return len({j for i in range(len(words) - 4) if seen[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)})
