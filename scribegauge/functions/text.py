@@ -3,8 +3,8 @@
 Steps: Unicode NFKC, lower case, punctuation to blanks (keeping numeric
 separators between digits, a minus that signs a number, and every slash), white
 space squeezed, split into tokens.  All but NFKC are built-in expressions.
-Characters below U+00A0 are their own NFKC form, so only other texts cross to
-Python; a text of the fast range is decided by one regular expression.
+Latin letters but for a few ligatures are their own NFKC form, which one regular
+expression decides, so only other texts cross to Python.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ NORMALIZATION_VERSION = "de-clinical-asr-v1"
 
 #: Punctuation that turns into a blank (after NFKC and lower-casing).
 TO_BLANK = r"(?!(?<=\p{Nd})[.,:](?=\p{Nd}))(?!(?<=^|\s)-(?=\p{Nd}))(?!/)\p{P}"
-#: Characters that NFKC never changes, alone or together: Latin with German and French letters.
-STABLE = r"^[\x00-\x9f¡-§©«¬®°±¶»¿-ſ]*$"
+#: Characters that NFKC never changes, alone or together: Latin with German, French and Spanish letters.
+STABLE = r"^[\x00-\x9f¡-§©«¬®°±¶»¿-ıĴ-ľŁ-ňŊ-ž]*$"
 
 
 @F.pandas_udf(StringType())
@@ -31,9 +31,14 @@ def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def is_stable(text: Column) -> Column:
+    """True where NFKC certainly changes nothing."""
+    return text.rlike(STABLE)
+
+
 def nfkc(text: Column, assume_composed: bool = False) -> Column:
-    """NFKC form.  With ``assume_composed`` the text is taken to be in that form already."""
-    return text if assume_composed else _nfkc(text)
+    """NFKC form; only texts that it may change are sent to Python.  With ``assume_composed`` none are."""
+    return text if assume_composed else F.coalesce(_nfkc(F.when(~is_stable(text), text)), text)
 
 
 def normalize_text(text: Column, assume_composed: bool = False) -> Column:
@@ -46,11 +51,6 @@ def tokens(text: Column, assume_composed: bool = False) -> Column:
     return F.filter(F.split(normalize_text(text, assume_composed), " "), lambda t: t != "")
 
 
-def is_stable(text: Column) -> Column:
-    """True where NFKC certainly changes nothing, so that the built-in path applies."""
-    return text.rlike(STABLE)
-
-
 #: Whatever may be punctuation.
 MARK = re.compile(r"[^\w\s]|_")
 
@@ -66,10 +66,15 @@ def _is_blank(at: int, text: str) -> bool:
     return not (char == "-" and after.isdigit() and (before == "" or before.isspace()))
 
 
+def normalized(text: str) -> str:
+    """The normal form of one Python string, but for its white space."""
+    text = unicodedata.normalize("NFKC", text).lower()
+    return MARK.sub(lambda m: " " if _is_blank(m.start(), text) else m[0], text)
+
+
 def tokenize(text: str) -> list[str]:
     """The same tokens for one Python string (used for surfaces and terminologies)."""
-    text = unicodedata.normalize("NFKC", text).lower()
-    return MARK.sub(lambda m: " " if _is_blank(m.start(), text) else m[0], text).split()
+    return normalized(text).split()
 
 
 Tokenizer = Callable[[str], list[str]]

@@ -1,18 +1,19 @@
 """Word alignment of token arrays.
 
 The full alignment (with its tie-break) runs in the scoring kernel or in
-:func:`with_alignment`, an Arrow scan without a shuffle.  Counts alone come
+:func:`with_alignment`, an Arrow function without a shuffle.  Counts alone come
 from :func:`edit_distance`, a fold of built-in expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 EQUAL, SUBSTITUTE, DELETE, INSERT = "equal", "substitute", "delete", "insert"
 
@@ -125,26 +126,21 @@ def edit_distance(ref: Column, hyp: Column) -> Column:
 
 
 STEP_TYPE = pa.struct([("ref_index", pa.int32()), ("hyp_index", pa.int32()), ("operation", pa.string()), ("ref_boundary", pa.int32())])
-ALIGNMENT_DDL = "array<struct<ref_index:int,hyp_index:int,operation:string,ref_boundary:int>>"
 
 
 def step_rows(alignment: Alignment) -> list[dict]:
     return [dict(zip(("ref_index", "hyp_index", "operation", "ref_boundary"), s)) for s in alignment.steps]
 
 
+@F.arrow_udf(from_arrow_type(pa.list_(STEP_TYPE)))
+def _aligned(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    pairs = zip(ref.to_pylist(), hyp.to_pylist())
+    return pa.array([None if a is None or b is None else step_rows(align_tokens(a, b)) for a, b in pairs], pa.list_(STEP_TYPE))
+
+
 def with_alignment(df: DataFrame, ref: str = "ref_tokens", hyp: str = "hyp_tokens", out: str = "alignment") -> DataFrame:
-    """Add the alignment of two token columns; null tokens give a null alignment."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column(ref).to_pylist(), batch.column(hyp).to_pylist())
-            found = [None if a is None or b is None else step_rows(align_tokens(a, b)) for a, b in pairs]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found, pa.list_(STEP_TYPE))], names=[*batch.schema.names, out]
-            )
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{fields}, {out} {ALIGNMENT_DDL}")
+    """Add the alignment of two token columns, which alone cross to Python; null tokens give a null alignment."""
+    return df.withColumn(out, _aligned(F.col(ref), F.col(hyp)))
 
 
 def operation_count(alignment: Column, operation: str) -> Column:

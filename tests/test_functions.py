@@ -1,6 +1,8 @@
 """Normalization, alignment, numbers and values; built-in forms against the Python ones."""
 
 import random
+import re
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -8,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scribegauge.functions.numerals import parse_number
-from scribegauge.functions.text import tokenize, tokens
+from scribegauge.functions.text import STABLE, nfkc, tokenize, tokens
 from scribegauge.functions.values import plain, read_value
 from scribegauge.operators.wordalign import align_tokens, edit_distance, project_span, with_alignment, with_edit_counts
 
@@ -84,3 +86,15 @@ def test_values(text, kind, value):
 def test_numbers():
     assert parse_number("1.000") == 1 and parse_number("dreitausendvierhundertzwölf") == 3412
     assert parse_number("zweihundertzweihundert") is None and parse_number("eins komma zehn") is None
+
+
+def test_stable_characters_are():
+    matched = [chr(i) for i in range(0x250) if re.fullmatch(STABLE, chr(i))]
+    assert len(matched) > 300 and all(unicodedata.normalize("NFKC", c) == c for c in matched)
+    assert not any(re.fullmatch(STABLE, c) for c in ("ſ", "ĳ", "ŉ", "ŀ", "\u0301", "µ", "½", "ﬁ"))
+
+
+def test_nfkc_of_mixed_texts(spark):
+    texts = ["größe", "ﬁnd ½", "e\u0301", None, "", "Straße ﬀ 5 µg"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", nfkc(F.col("t")).alias("n")).collect()
+    assert {r["i"]: r["n"] for r in rows} == {i: None if t is None else unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}

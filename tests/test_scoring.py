@@ -199,3 +199,24 @@ def test_overlap_is_a_fault_unless_allowed():
     assert score("metoprolol", "metoprolol", both, terms=None, allow_overlapping_entities=True)["entity_tp"] == 1
     with pytest.raises(ValueError, match="conflicting"):
         Lexicon([{"surface": "a", "canonical": "x"}, {"surface": "A", "canonical": "y"}])
+
+
+def test_public_names_and_records():
+    import scribegauge
+
+    assert all(getattr(scribegauge, name) is not None for name in scribegauge.__all__)
+    noted = {"entities": [drug(0, "metoprolol")], "critical_slots": [MG50]}
+    sample = scribegauge.BenchmarkSample.from_dict({"sample_id": "x", "reference": "metoprolol 50 mg", "hypothesis": "metoprolol", "annotations": noted})
+    assert scribegauge.BenchmarkSample.from_dict(sample.to_dict()) == sample and sample.annotations.critical_slots[0].canonical == MG50["canonical"]
+    for wrong in ({"sample_id": ""}, {"reference": 1}, {"extra": 1}):
+        with pytest.raises((TypeError, ValueError)):
+            scribegauge.BenchmarkSample.from_dict(sample.to_dict() | wrong)
+    found = scribegauge.align("a b c d", "a x b y d")
+    assert found.wer == 0.5 and found.counts()["insertions"] == 1
+    span = scribegauge.project_span_of(found, 1, 3)
+    assert (span.hypothesis_start, span.hypothesis_tokens) == (found.alignment.project(1, 3)[0], found.hypothesis_tokens[slice(*found.alignment.project(1, 3))])
+    with pytest.raises(ValueError, match="span"):
+        scribegauge.validate_annotations({"entities": [drug(4, "metoprolol")]}, ["metoprolol"])
+    own = scribegauge.default_transform().then(lambda t: t.replace("ß", "ss"))
+    assert own("Große, Straße") == ["grosse", "strasse"] and scribegauge.normalize_tokens("A, b") == ["a", "b"]
+    assert scribegauge.PRFCounts(1, 1, 0) + scribegauge.PRFCounts(0, 0, 1) == scribegauge.PRFCounts(1, 1, 1)
