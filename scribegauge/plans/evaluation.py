@@ -96,6 +96,11 @@ class CorpusReport:
         rows = self.rows().orderBy("rank", "at").toLocalIterator()
         reports.write_csv(({k: v for k, v in r.asDict().items() if v is not None} for r in rows), path)
 
+    def write_tables(self, path: str, form: str = "parquet") -> None:
+        """The report as tables below ``path``, written by the executors: ``rows``, ``types`` and ``samples``."""
+        for name, frame in (("rows", self.rows()), ("types", self.types), ("samples", self.results)):
+            frame.write.format(form).save(f"{path}/{name}")
+
     def render(self, sample_id: str) -> str:
         found = self.results.where(F.col("sample_id") == sample_id).limit(2).collect()
         if len(found) != 1:

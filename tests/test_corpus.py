@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scribegauge import app
 from scribegauge.operators.lexicon import Lexicon, detect_terms, terminology_keys
 from scribegauge.operators.resample import hash_draws, with_clusters
-from scribegauge.operators.rollup import sums
+from scribegauge.operators.rollup import corpus_counts, group_counts, grouping_sets, metadata_groups, sums, type_counts
 from scribegauge.operators.scoring import Scorer
 from scribegauge.plans.evaluation import score_corpus
 from scribegauge.sources.datasets import from_records, load_samples
@@ -55,6 +55,17 @@ def test_reports(report, tmp_path):
         report.render("nobody")
 
 
+def test_tables_and_mixed_versions(report, spark, tmp_path):
+    report.write_tables(str(tmp_path))
+    assert [spark.read.parquet(f"{tmp_path}/{name}").count() for name in ("rows", "types", "samples")] == [7, 1, 3]
+    mixed = report.results.withColumn("terminology_version", F.when(F.col("sample_id") == "long", "x"))
+    both = F.lit("g").alias("g")
+    for sums_of in (corpus_counts, lambda r: group_counts(r, both), lambda r: type_counts(r), lambda r: metadata_groups(r, "none"), lambda r: grouping_sets(r, ["error"])):
+        assert sums_of(report.results).count() > 0
+        with pytest.raises(Exception, match="different benchmark versions"):
+            sums_of(mixed).collect()
+
+
 def test_clusters_and_bootstrap(report):
     got = {r["sample_id"]: r["cluster"] for r in with_clusters(report.results, "speaker_ids").collect()}
     assert got["short"] == got["long"] != got["empty"]
