@@ -11,7 +11,8 @@ The own pre-tokenizer is used only on texts whose characters all lie in a
 range where its normalisation and classes are the library's: code points up to
 U+024F without U+0130 and without the separators U+001C to U+001F.  Any other
 text, and any text with one of the tokenizer's special strings, is counted by
-the library as a whole.
+the library as a whole; and so are all texts where the tokenizer file names
+another normalisation or pre-token pattern, or is a sentencepiece model.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); a null id
 stays null; repeated rows are counted each; long texts are counted whole.
@@ -20,7 +21,9 @@ stays null; repeated rows are counted each; long texts are counted whole.
 from __future__ import annotations
 
 import functools
+import json
 import os
+from pathlib import Path
 
 import pyarrow as pa
 import regex
@@ -48,9 +51,39 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@functools.cache
+def is_known_kind(path: str) -> bool:
+    """Whether the tokenizer cuts texts as this module does, by what its file says."""
+    if not path.endswith(".json"):
+        return False
+    data = json.loads(Path(path).read_text(encoding="utf-8"))
+    steps = (data.get("normalizer") or {}).get("normalizers", [])
+    cuts = (data.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    kinds = [s["type"] for s in steps], [c["type"] for c in cuts]
+    return (
+        kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+        and (steps[1]["pattern"], steps[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and (cuts[0]["pattern"], cuts[0]["behavior"], cuts[0]["invert"]) == ({"Regex": PRETOKEN}, "Removed", True)
+        and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+    )
+
+
+def library_counter(path: str):
+    """Function from text to its number of tokens, by the library alone."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda text: len(pieces.encode(text))
+    tok = load_tokenizer(path)
+    return lambda text: len(tok.encode(text, add_special_tokens=False).ids)
+
+
 @functools.cache
 def whole_tokens(path: str) -> frozenset[str]:
-    """Strings that are one pre-token and encode, alone, as exactly one token."""
+    """Strings that are one pre-token and encode, alone, as exactly one token; none for an unknown kind of tokenizer."""
+    if not is_known_kind(path):
+        return frozenset()
     tok = load_tokenizer(path)
     suffix = tok.model.end_of_word_suffix or ""
     ends = [t for t in tok.get_vocab() if t.endswith(suffix)]
@@ -78,7 +111,9 @@ def _unmap(token: str) -> str:
 
 def make_counter(path: str, whole: frozenset[str]):
     """Function from text to its number of tokens."""
-    tok = load_tokenizer(path)
+    if not is_known_kind(path):
+        return library_counter(path)
+    tok, in_library = load_tokenizer(path), library_counter(path)
     specials = [t.content for t in tok.get_added_tokens_decoder().values()]
     outside = regex.compile(OUTSIDE + "".join("|" + regex.escape(s) for s in specials))
     cut = regex.compile(PRETOKEN).findall
@@ -86,7 +121,7 @@ def make_counter(path: str, whole: frozenset[str]):
 
     def count(text: str) -> int:
         if outside.search(text):
-            return len(tok.encode(text, add_special_tokens=False).ids)
+            return in_library(text)
         parts = cut(text.lower())
         found = list(map(known.get, parts))
         if None in found:

@@ -163,6 +163,23 @@ def test_many_sources(spark):
     assert got.count() == 700
 
 
+def test_other_tokenizers_are_counted_by_their_library():
+    import public_tokenizers
+    import sentencepiece
+
+    assert tokens.is_known_kind(tokenizer_path())
+    texts = ["", "Some  text, it's 42 words!", "ßtraße <|endoftext|> </s>", "a\nb"]
+    for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"):
+        path = public_tokenizers.path(name)
+        assert not tokens.is_known_kind(path) and not tokens.whole_tokens(path)
+        count = tokens.make_counter(path, tokens.whole_tokens(path))
+        if name.endswith(".json"):
+            want = [len(tokens.load_tokenizer(path).encode(t, add_special_tokens=False).ids) for t in texts]
+        else:
+            want = [len(sentencepiece.SentencePieceProcessor(model_file=path).encode(t)) for t in texts]
+        assert [count(t) for t in texts] == want
+
+
 def test_token_counts_match_the_library(spark):
     path = tokenizer_path()
     rng = random.Random(6)
