@@ -84,6 +84,18 @@ class Lexicon:
             at += len(key)
         return found
 
+    def whole(self, tokens: Sequence[str]) -> Term | None:
+        """The term that all tokens together are; the longest match at their start, if there is one."""
+        meaning = self.meanings.get(tuple(tokens))
+        return None if meaning is None else Term(0, len(tokens), " ".join(tokens), *meaning)
+
+
+def whole_term(recognizer: Recognizer, tokens: Sequence[str]) -> Term | None:
+    """The term that a recognizer finds in all tokens together; one with a lookup of its own is not made to scan."""
+    if hasattr(recognizer, "whole"):
+        return recognizer.whole(tokens)
+    return next((t for t in recognizer.extract(list(tokens)) if (t.start, t.end) == (0, len(tokens))), None)
+
 
 class Combined:
     """Terms of several recognizers: longer first, then specific types, then earlier start and recognizer."""
@@ -99,6 +111,11 @@ class Combined:
                 kept.append(term)
         return sorted(kept, key=lambda t: t.start)
 
+    def whole(self, tokens: list[str]) -> Term | None:
+        """Nothing is longer, so the first specific one, or else the first."""
+        found = [t for t in (whole_term(r, tokens) for r in self.recognizers) if t is not None]
+        return min(found, key=lambda t: t.type == OTHER, default=None)
+
 
 def terminology_keys(terminology: DataFrame, surface_tokens: str = "surface_tokens") -> DataFrame:
     """``key, n, canonical, type, concept_id``: one row per key; conflicting keys are an error."""
