@@ -434,12 +434,23 @@ def grow_references(hosted: DataFrame) -> DataFrame:
         if grown:
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.string()) for x in zip(*grown.items())], schema=TREES)
 
-    def merge(key, table):
-        tree = functools.reduce(merge_trees, sorted(set(table.column("reference").to_pylist())))
-        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "reference": pa.array([tree], pa.string())})
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One tree at a time: rows come by host."""
+        current: tuple[str, str] | None = None
+        for part in batches:
+            for host, tree in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                if current is not None and current[0] == host:
+                    current = host, merge_trees(current[1], tree)
+                    continue
+                if current is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in current], schema=TREES)
+                current = host, tree
+        if current is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in current], schema=TREES)
 
     schema = "host string, reference string"
-    return hosted.select("host", "html").mapInArrow(run, schema).groupBy("host").applyInArrow(merge, schema)
+    sent = hosted.select("host", "html").mapInArrow(run, schema).distinct()
+    return sent.repartition("host").sortWithinPartitions("host", "reference").mapInArrow(merge, schema)
 
 
 def induce_wrappers(pages: DataFrame) -> DataFrame:
