@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.text import Tokenizer, tokenize
 
 OTHER = "OTHER_MEDICAL"
+#: First words of terms up to which places are filtered by them before n-grams are made.
+FEW_FIRST_WORDS = 64
 
 
 class Term(NamedTuple):
@@ -143,6 +145,11 @@ def detect_terms(samples: DataFrame, terminology: DataFrame, tokens: str = "toke
     """
     sizes = sorted(r["n"] for r in terminology.select("n").distinct().collect()) or [1]
     arr, n = F.col("_tokens"), F.col("_n")
+    # With few first words, only the places of one of them are worth an n-gram; the join decides as before.
+    firsts = [r[0] for r in terminology.select(F.substring_index("key", " ", 1)).distinct().limit(FEW_FIRST_WORDS + 1).collect()]
+    places = F.sequence(F.lit(0), F.size(arr) - n)
+    if len(firsts) <= FEW_FIRST_WORDS:
+        places = F.filter(places, lambda i: F.array_contains(F.lit(firsts).cast("array<string>"), F.get(arr, i)))
 
     def gram(i: Column) -> Column:
         return F.struct(i.alias("start"), (i + n).alias("end"), F.array_join(F.slice(arr, i + 1, n), " ").alias("key"))
@@ -150,7 +157,7 @@ def detect_terms(samples: DataFrame, terminology: DataFrame, tokens: str = "toke
     # The n-grams of one length at a time, however many lengths there are.
     fitting = F.filter(F.lit(sizes).cast("array<int>"), lambda k: k <= F.size(tokens))
     by_size = samples.select(ident, F.col(tokens).alias("_tokens"), F.explode(fitting).alias("_n"))
-    made = by_size.select(ident, F.inline(F.transform(F.sequence(F.lit(0), F.size(arr) - n), gram)))
+    made = by_size.select(ident, F.inline(F.transform(places, gram)))
     hits = made.join(terminology, "key").select(
         ident, F.struct("start", "end", F.col("key").alias("surface"), "canonical", "type", "concept_id").alias("t")
     )
