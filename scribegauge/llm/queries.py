@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, line_dedup, mixing, quality, simhash, tokens, toxicity, url_filter
+from . import chat_format, clustering, decontaminate, html_extract, line_dedup, mixing, quality, simhash, tokens, toxicity, url_filter
 from .runtime import read_table
 
 URL_RULES = (
@@ -73,6 +73,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(read_table(spark, sf_dir, "pages"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_line_dedup": op2_line_dedup,
@@ -84,6 +88,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_html_extraction": op10_html_extraction,
+    "op11_centroid_clustering": op11_centroid_clustering,
 }
 
 
@@ -155,5 +160,30 @@ _CHAT_SQL = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coa
       + CASE WHEN after IS DISTINCT FROM role THEN 8 ELSE 0 END) AS BIGINT) AS formatted_chars
   FROM o GROUP BY conv_id"""
 
+_KEPT_VECTORS = """SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64"""
+
+
+def _nearest(centroids: str) -> str:
+    square = "CAST(list_sum(list_transform(list_zip(kept.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+    return f"""SELECT row, any_value(vec_id) AS vec_id, any_value(v) AS v, min(n)['d'] AS distance, min(n)['k'] AS cluster
+        FROM (SELECT row, vec_id, kept.v, {{'d': {square}, 'k': c.k}} AS n FROM kept, {centroids} c) GROUP BY row"""
+
+
+def _clustering_sql(rounds: int = 3) -> str:
+    steps = [
+        f"kept AS MATERIALIZED ({_KEPT_VECTORS})",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS k, v FROM kept WHERE vec_id IS NOT NULL QUALIFY k < 16)",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED ({_nearest(f'c{i}')})")
+        parts = f"SELECT cluster, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{i}, (SELECT unnest(range(1, 65)) AS i) GROUP BY cluster, i"
+        means = f"SELECT cluster, list((s - (s % n + n) % n) // n ORDER BY i) AS m FROM ({parts}) GROUP BY cluster"
+        steps.append(f"c{i + 1} AS MATERIALIZED (SELECT k, coalesce(m, v) AS v FROM c{i} LEFT JOIN ({means}) ON cluster = k)")
+    last = "SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia"
+    return f"""WITH {", ".join(steps)} {last}, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+        FROM (SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance FROM a{rounds}) JOIN c{rounds} ON k = cluster"""
+
+
 #: The other queries hash, train or align in ways that SQL has no words for; the tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": _URL_SQL, "op4_chat_formatting": _CHAT_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": _URL_SQL, "op4_chat_formatting": _CHAT_SQL, "op11_centroid_clustering": _clustering_sql()}
