@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, clustering, decontaminate, html_extract, line_dedup, mixing, quality, simhash, tokens, toxicity, url_filter
+from . import chat_format, clustering, decontaminate, html_extract, line_dedup, mixing, packing, quality, simhash, tokens, toxicity, url_filter
 from .runtime import read_table
 
 URL_RULES = (
@@ -77,6 +77,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_line_dedup": op2_line_dedup,
@@ -89,6 +93,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_html_extraction": op10_html_extraction,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 
