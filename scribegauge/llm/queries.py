@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, clustering, decontaminate, html_extract, line_dedup, mixing, packing, quality, simhash, tokens, toxicity, url_filter
+from . import chat_format, clustering, decontaminate, html_extract, line_dedup, mixing, packing, prefix_trie, quality, simhash, tokens, toxicity, url_filter
 from .runtime import read_table
 
 URL_RULES = (
@@ -77,6 +77,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -93,6 +97,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_html_extraction": op10_html_extraction,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
 
@@ -190,5 +195,35 @@ def _clustering_sql(rounds: int = 3) -> str:
         FROM (SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance FROM a{rounds}) JOIN c{rounds} ON k = cluster"""
 
 
+#: Checksum of the decimal form of an id, a bit at a time.
+_CRC = """xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, CASE WHEN y & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+_TRIE_SQL = f"""WITH said AS (SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w FROM conversations WHERE conv_id IS NOT NULL),
+  t AS (SELECT conv_id, d, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) - 1 AS pos FROM said),
+  c AS (SELECT conv_id, count(*) AS n, {_CRC} % 4 AS h FROM t GROUP BY conv_id),
+  heads AS (SELECT c.conv_id, t.pos, t.d, t.w FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.pos < c.h),
+  p AS (SELECT c.*, (SELECT count(*) FROM heads WHERE heads.conv_id = c.conv_id) AS p FROM c),
+  turns AS (SELECT * FROM heads UNION ALL SELECT conv_id, pos - h + p, d, w FROM t JOIN p USING (conv_id) WHERE pos >= h),
+  m AS (SELECT conv_id, pos + 1 AS depth, sha256(string_agg(d, '') OVER (PARTITION BY conv_id ORDER BY pos)) AS k, w FROM turns
+    UNION ALL SELECT conv_id, 0, '', 0 FROM p),
+  sized AS (SELECT m.*, p + greatest(n - h, 0) = depth AS ends FROM m JOIN p USING (conv_id)),
+  nodes AS (SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS ids FROM sized GROUP BY depth, k),
+  placed AS (SELECT x.*, up.conv_id AS parent_conv_id, up.k AS parent_k FROM nodes x
+    LEFT JOIN m ON m.conv_id = x.conv_id AND m.depth = x.depth - 1 LEFT JOIN nodes up ON up.depth = m.depth AND up.k = m.k),
+  kids AS (SELECT depth - 1 AS depth, parent_k AS k, count(*) AS n_children FROM placed WHERE depth > 0 GROUP BY ALL),
+  full_nodes AS (SELECT placed.*, coalesce(n_children, 0) AS n_children FROM placed LEFT JOIN kids USING (depth, k)),
+  sums AS (SELECT m.depth, m.k, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * x.w) AS saved
+    FROM full_nodes x JOIN m ON m.conv_id = x.conv_id AND m.depth <= x.depth GROUP BY m.depth, m.k)
+  SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(ids) AS ends_sha256
+  FROM full_nodes JOIN sums USING (depth, k)"""
+
 #: The other queries hash, train or align in ways that SQL has no words for; the tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": _URL_SQL, "op4_chat_formatting": _CHAT_SQL, "op11_centroid_clustering": _clustering_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filters": _URL_SQL,
+    "op4_chat_formatting": _CHAT_SQL,
+    "op11_centroid_clustering": _clustering_sql(),
+    "op12_prefix_trie": _TRIE_SQL,
+}
