@@ -27,6 +27,8 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -34,12 +36,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import map_rows, saved
-from .tokens import OUTSIDE, PRETOKEN, is_known_kind, load_tokenizer
+from .tokens import OUTSIDE, is_known_kind, load_tokenizer
 
 CAPACITY = 2048
 END = 0
@@ -54,9 +55,9 @@ NEARLY = 1e-9
 #: Configurations that are kept as such, most used first; the rest of the pieces is packed best-fit.
 MOST_CONFIGURATIONS = 20_000
 #: Pieces of one slice, on average.
-SLICE_ROWS = 20_000
-#: Distinct pre-tokens whose ids a worker remembers.
-CACHE_ENTRIES = 1 << 18
+SLICE_ROWS = 1_000
+#: Distinct words whose ids a worker remembers in each of two generations.
+CACHE_ENTRIES = 1 << 19
 
 PIECE_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECE_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -65,40 +66,48 @@ _PIECE_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start
 # Tokens ------------------------------------------------------------------------
 
 
+def _as_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def make_encoder(path: str) -> Callable[[str], bytes]:
     """Function from text to its token ids as little-endian 32-bit numbers."""
     tok = load_tokenizer(path)
 
     def in_library(text: str) -> bytes:
-        return np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _as_bytes(tok.encode(text, add_special_tokens=False).ids)
 
     if not is_known_kind(path):
         return in_library
     specials = [t.content for t in tok.get_added_tokens_decoder().values()]
-    outside = regex.compile(OUTSIDE + "".join("|" + regex.escape(s) for s in specials))
-    cut = regex.compile(PRETOKEN).findall
+    outside = re.compile(OUTSIDE + "".join("|" + re.escape(s) for s in specials))
+    # No pre-token reaches over white space, so a word between blanks has the same ids in every text.
     known: dict[str, bytes] = {}
+    before: dict[str, bytes] = {}
 
     def encode(text: str) -> bytes:
+        nonlocal known, before
         if outside.search(text):
             return in_library(text)
-        parts = cut(text.lower())
-        new = set(parts).difference(known)
+        words = text.lower().split()
+        new = set(words).difference(known)
         if new:
             if len(known) + len(new) > CACHE_ENTRIES:
-                known.clear()
-                new = set(parts)
-            words = list(new)
-            for word, coded in zip(words, tok.encode_batch_fast(words, add_special_tokens=False)):
-                known[word] = np.array(coded.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, parts))
+                # Words that are still in use come back from the generation before.
+                known, before = {}, known
+                new = set(words)
+            unseen = [word for word in new if word not in before]
+            known.update((word, before[word]) for word in new.difference(unseen))
+            for word, coded in zip(unseen, tok.encode_batch_fast(unseen, add_special_tokens=False)):
+                known[word] = _as_bytes(coded.ids)
+        return b"".join(map(known.__getitem__, words))
 
     return encode
 
 
 def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every piece of every row."""
-    end = np.array([END], dtype="<u4").tobytes()
+    end = _as_bytes([END])
 
     def setup():
         encode = _worker_encoder(tokenizer_path)
