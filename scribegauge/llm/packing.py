@@ -36,11 +36,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import map_rows, saved
-from .tokens import OUTSIDE, is_known_kind, load_tokenizer
+from .tokens import OUTSIDE, PRETOKEN, is_known_kind, load_tokenizer
 
 CAPACITY = 2048
 END = 0
@@ -81,6 +82,21 @@ def make_encoder(path: str) -> Callable[[str], bytes]:
         return in_library
     specials = [t.content for t in tok.get_added_tokens_decoder().values()]
     outside = re.compile(OUTSIDE + "".join("|" + re.escape(s) for s in specials))
+    cut = regex.compile(PRETOKEN).findall
+    suffix = tok.model.end_of_word_suffix
+    closes = np.zeros(tok.get_vocab_size(), dtype=bool)
+    closes[[i for token, i in tok.get_vocab().items() if suffix and token.endswith(suffix)]] = True
+
+    def by_word(words: list[str]) -> list[bytes]:
+        """The ids of each word, from one text of all of them: a pre-token ends with an id that closes one."""
+        ids = np.array(tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(closes[ids])
+        last = np.cumsum([len(cut(word)) for word in words], dtype=np.int64) - 1
+        if not words or len(ends) != last[-1] + 1:
+            return [_as_bytes(e.ids) for e in tok.encode_batch_fast(words, add_special_tokens=False)]
+        stops, data = (4 * (ends[last] + 1)).tolist(), ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *stops], stops)]
+
     # No pre-token reaches over white space, so a word between blanks has the same ids in every text.
     known: dict[str, bytes] = {}
     before: dict[str, bytes] = {}
@@ -98,8 +114,7 @@ def make_encoder(path: str) -> Callable[[str], bytes]:
                 new = set(words)
             unseen = [word for word in new if word not in before]
             known.update((word, before[word]) for word in new.difference(unseen))
-            for word, coded in zip(unseen, tok.encode_batch_fast(unseen, add_special_tokens=False)):
-                known[word] = _as_bytes(coded.ids)
+            known.update(zip(unseen, by_word(unseen)))
         return b"".join(map(known.__getitem__, words))
 
     return encode
