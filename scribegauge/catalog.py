@@ -24,6 +24,7 @@ from .operators.resample import bootstrap_interval, with_clusters
 from .operators.rollup import corpus_counts, group_counts, grouping_sets, metadata_groups, type_counts
 from .operators.scoring import Scorer, score_samples
 from .operators.wordalign import edit_distance, project_span, with_alignment, with_edit_counts
+from .runtime import checkpointed
 
 DRUGS = ("metoprolol", "ramipril", "aspirin", "metamizol")
 NOVEL = "zzqx"
@@ -159,7 +160,7 @@ def annotation_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of critical F1 by clusters of a speaker, with arithmetic draws."""
-    interval = bootstrap_interval(template_results(spark, sf_dir), "critical_f1", 200, seed=7, cluster_by="speaker", draws="hashed")
+    interval = bootstrap_interval(checkpointed(template_results(spark, sf_dir)), "critical_f1", 200, seed=7, cluster_by="speaker", draws="hashed")
     names = ("estimate", "lower", "upper")
     row = [(interval.metric, *(round(getattr(interval, n), 9) for n in names), interval.n_resamples, interval.cluster_by)]
     return spark.createDataFrame(row, "metric string, estimate double, lower double, upper double, n_resamples long, cluster_by string")
@@ -364,7 +365,7 @@ def _bootstrap_sql(resamples: int = 200, seed: int = 7) -> str:
         first AS (SELECT *, (k % {p} * {a} + (r + 1) * {b} + {seed * c}) % {p} AS x FROM clusters, (SELECT unnest(range({resamples})) AS r)),
         second AS (SELECT * REPLACE ((x * x % {p} + x * {d}) % {p} AS x) FROM first),
         drawn AS (SELECT * REPLACE ((x * x % {p} + x * {a}) % {p} AS x) FROM second),
-        rates AS (SELECT r, {rate.format("n * ")} AS f FROM (SELECT *, {times} AS n FROM drawn) GROUP BY r)
+        rates AS (SELECT r, {rate.format("n * ")} AS f FROM (SELECT *, {times} AS n FROM drawn) GROUP BY r HAVING sum(n) > 0)
         SELECT 'critical_f1' AS metric, round((SELECT {rate.format("")} FROM clusters), 9) AS estimate, round(quantile_cont(f, 0.025), 9) AS lower,
           round(quantile_cont(f, 0.975), 9) AS upper, CAST({resamples} AS BIGINT) AS n_resamples, 'speaker' AS cluster_by FROM rates"""
 

@@ -1,24 +1,26 @@
 """Terminology dictionaries and the detection of their terms.
 
-Two physical forms with the same result: :class:`Lexicon` inside the scoring
-kernel, and :func:`detect_terms`, a relational plan (n-grams of the existing
-key lengths, equi-join with the terminology, longest term per start, greedy
-left-to-right packing) for terminologies of any size.
+:class:`Lexicon` is a dictionary for plain token lists.  In plans, all
+occurrences of its terms are found in each row (by lookups for a few terms, by
+token automata of bounded size for more), and the leftmost-longest choice among
+them is a fold of built-in expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import uuid
+from collections.abc import Iterable, Iterator, Sequence
 from typing import NamedTuple, Protocol
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from ..functions.text import Tokenizer, tokenize
+from .readings import literals
 
 OTHER = "OTHER_MEDICAL"
-#: First words of terms up to which places are filtered by them before n-grams are made.
-FEW_FIRST_WORDS = 64
 
 
 class Term(NamedTuple):
@@ -119,6 +121,118 @@ class Combined:
         return min(found, key=lambda t: t.type == OTHER, default=None)
 
 
+class Automaton:
+    """All occurrences of many terms in one pass over the tokens: a token trie with links to the longest proper ends."""
+
+    def __init__(self, keys: Iterable[Sequence[str]]) -> None:
+        self.children: list[dict[str, int]] = [{}]
+        self.term, self.length = [-1], [0]
+        for number, key in enumerate(keys):
+            node = 0
+            for token in key:
+                if token not in self.children[node]:
+                    self.children[node][token] = len(self.children)
+                    self.children.append({})
+                    self.term.append(-1)
+                    self.length.append(0)
+                node = self.children[node][token]
+            self.term[node], self.length[node] = number, len(key)
+        # ``shorter`` is the longest other beginning of a term that ends here, ``ending`` the longest one that is a term.
+        self.shorter, self.ending = [0] * len(self.children), [0] * len(self.children)
+        level = list(self.children[0].values())
+        while level:
+            below = []
+            for node in level:
+                for token, child in self.children[node].items():
+                    back = self.shorter[node]
+                    while back and token not in self.children[back]:
+                        back = self.shorter[back]
+                    self.shorter[child] = back = self.children[back].get(token, 0)
+                    self.ending[child] = back if self.term[back] >= 0 else self.ending[back]
+                    below.append(child)
+            level = below
+
+    def occurrences(self, tokens: Sequence[str]) -> list[tuple[int, int, int]]:
+        """``(start, end, number of the term)`` of every occurrence."""
+        found, node = [], 0
+        for at, token in enumerate(tokens, 1):
+            while node and token not in self.children[node]:
+                node = self.shorter[node]
+            node = self.children[node].get(token, 0)
+            hit = node if self.term[node] >= 0 else self.ending[node]
+            while hit:
+                found.append((at - self.length[hit], at, self.term[hit]))
+                hit = self.ending[hit]
+        return found
+
+
+Meaning = tuple[str, str, str | None]
+HITS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("canonical", pa.string()), ("type", pa.string()), ("concept_id", pa.string())]))
+#: Terms up to which occurrences are looked up by expressions, and those that one automaton holds.
+FEW_TERMS, SHARD_TERMS = 256, 200_000
+#: Automata that a worker keeps.
+MOST_AUTOMATA = 4
+
+
+def _shard_hits(spark: SparkSession, shard: list[tuple[tuple[str, ...], Meaning]], tokens: Column) -> Column:
+    shared, name = spark.sparkContext.broadcast(shard), uuid.uuid4().hex
+
+    @F.arrow_udf(from_arrow_type(HITS))
+    def hits(batch: pa.Array) -> pa.Array:
+        terms = shared.value
+        automaton = _automaton(name, terms)
+        rows = ([(s, e, *terms[n][1]) for s, e, n in automaton.occurrences(words or ())] for words in batch.to_pylist())
+        return pa.array([[dict(zip(("start", "end", "canonical", "type", "concept_id"), hit)) for hit in row] for row in rows], HITS)
+
+    return hits(tokens)
+
+
+_AUTOMATA: dict[str, Automaton] = {}
+
+
+def _automaton(name: str, terms: list[tuple[tuple[str, ...], Meaning]]) -> Automaton:
+    """The automaton of a broadcast shard, built once for each worker, which remembers the last few."""
+    if name not in _AUTOMATA:
+        while len(_AUTOMATA) >= MOST_AUTOMATA:
+            del _AUTOMATA[next(iter(_AUTOMATA))]
+        _AUTOMATA[name] = Automaton(key for key, _ in terms)
+    return _AUTOMATA[name]
+
+
+def _few_hits(meanings: dict[tuple[str, ...], Meaning], tokens: Column) -> Column:
+    """The same by expressions: a lookup for each length that a term with this first word has."""
+    entries = (f"{literals([' '.join(key)])}, named_struct('canonical', {literals(m[:1])}, 'type', {literals(m[1:2])}, 'concept_id', {literals(m[2:])})" for key, m in meanings.items())
+    known = F.expr(f"map({', '.join(entries)})")
+    sizes, firsts = sorted({len(key) for key in meanings}), F.expr(f"array({literals(sorted({key[0] for key in meanings}))})")
+
+    def at_place(word: Column, at: Column) -> Column:
+        def of_size(n: int) -> Column:
+            key = word if n == 1 else F.array_join(F.slice(tokens, at + 1, n), " ")
+            def hit(found: Column) -> Column:
+                term = F.struct(at.alias("start"), (at + n).alias("end"), *(found[x].alias(x) for x in ("canonical", "type", "concept_id")))
+                return F.when(found.isNotNull() & (at + n <= F.size(tokens)), term)
+
+            return F.get(F.transform(F.array(F.try_element_at(known, key)), hit), F.lit(0))
+
+        return F.when(F.array_contains(firsts, word), F.filter(F.array(*map(of_size, sizes)), lambda h: h.isNotNull()))
+
+    return F.flatten(F.filter(F.transform(tokens, at_place), lambda h: h.isNotNull()))
+
+
+def term_hits(spark: SparkSession, lexicon: Lexicon, tokens: Column) -> Column:
+    """``array<struct<start, end, canonical, type, concept_id>>`` of all occurrences of a dictionary's terms, overlapping ones included.
+
+    A few terms are looked up by expressions; more go into automata of bounded
+    size, each of which passes over the tokens once.
+    """
+    if not lexicon.meanings:
+        return F.from_json(F.lit("[]"), "array<struct<start:int,end:int,canonical:string,type:string,concept_id:string>>")
+    if len(lexicon.meanings) <= FEW_TERMS:
+        return _few_hits(lexicon.meanings, tokens)
+    terms = list(lexicon.meanings.items())
+    return F.concat(*(_shard_hits(spark, terms[i : i + SHARD_TERMS], tokens) for i in range(0, len(terms), SHARD_TERMS)))
+
+
 def terminology_keys(terminology: DataFrame, surface_tokens: str = "surface_tokens") -> DataFrame:
     """``key, n, canonical, type, concept_id``: one row per key; conflicting keys are an error."""
     keyed = terminology.select(
@@ -136,38 +250,33 @@ def terminology_keys(terminology: DataFrame, surface_tokens: str = "surface_toke
     return checked.where(F.coalesce(fault.cast("boolean"), F.lit(True))).select("key", "n", "m.*")
 
 
-def detect_terms(samples: DataFrame, terminology: DataFrame, tokens: str = "tokens", ident: str = "sample_id") -> DataFrame:
-    """``ident, entities``: detected terms of each row that has any, in order.
+def shards_of(terminology: DataFrame) -> Iterator[list[tuple[tuple[str, ...], Meaning]]]:
+    """The rows of a terminology by shards of at most ``SHARD_TERMS``, one at a time on the driver."""
+    shard: list[tuple[tuple[str, ...], Meaning]] = []
+    for row in terminology.select("key", "canonical", "type", "concept_id").toLocalIterator():
+        shard.append((tuple(row["key"].split(" ")), (row["canonical"], row["type"], row["concept_id"])))
+        if len(shard) == SHARD_TERMS:
+            yield shard
+            shard = []
+    if shard:
+        yield shard
 
-    ``terminology`` is the result of :func:`terminology_keys`.  Only n-grams of
-    lengths that occur as keys are made.  The join is left to the optimizer,
-    which broadcasts a small terminology and shuffles a large one.
+
+def detect_terms(samples: DataFrame, terminology: DataFrame, tokens: str = "tokens", out: str = "entities") -> DataFrame:
+    """The rows of ``samples`` that have terms, with ``out``: the detected terms in order.
+
+    ``terminology`` is the result of :func:`terminology_keys`.  Rows keep to
+    themselves, so ids may repeat and nothing is shuffled; every shard of the
+    terminology is an automaton that passes over the tokens once.
     """
-    sizes = sorted(r["n"] for r in terminology.select("n").distinct().collect()) or [1]
-    arr, n = F.col("_tokens"), F.col("_n")
-    # With few first words, only the places of one of them are worth an n-gram; the join decides as before.
-    firsts = [r[0] for r in terminology.select(F.substring_index("key", " ", 1)).distinct().limit(FEW_FIRST_WORDS + 1).collect()]
-    places = F.sequence(F.lit(0), F.size(arr) - n)
-    if len(firsts) <= FEW_FIRST_WORDS:
-        places = F.filter(places, lambda i: F.array_contains(F.lit(firsts).cast("array<string>"), F.get(arr, i)))
-
-    def gram(i: Column) -> Column:
-        return F.struct(i.alias("start"), (i + n).alias("end"), F.array_join(F.slice(arr, i + 1, n), " ").alias("key"))
-
-    # The n-grams of one length at a time, however many lengths there are.
-    fitting = F.filter(F.lit(sizes).cast("array<int>"), lambda k: k <= F.size(tokens))
-    by_size = samples.select(ident, F.col(tokens).alias("_tokens"), F.explode(fitting).alias("_n"))
-    made = by_size.select(ident, F.inline(F.transform(places, gram)))
-    hits = made.join(terminology, "key").select(
-        ident, F.struct("start", "end", F.col("key").alias("surface"), "canonical", "type", "concept_id").alias("t")
-    )
-    longest = hits.groupBy(ident, F.col("t.start").alias("at")).agg(F.max_by("t", F.col("t.end")).alias("t"))
-    gathered = longest.groupBy(ident).agg(F.sort_array(F.collect_list("t")).alias("offered"))
-    empty = F.filter("offered", lambda t: F.lit(False))
-    packed = F.aggregate(
-        "offered", empty,
-        lambda kept, t: F.when(
-            (F.size(kept) == 0) | (F.try_element_at(kept, F.lit(-1))["end"] <= t["start"]), F.concat(kept, F.array(t))
-        ).otherwise(kept),
-    )
-    return gathered.select(ident, packed.alias("entities"))
+    from .matching import packed
+
+    spark, words = samples.sparkSession, F.col(tokens)
+    hits = [_shard_hits(spark, shard, words) for shard in shards_of(terminology)]
+    empty = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,canonical:string,type:string,concept_id:string>>")
+    found = samples.withColumn("_hits", F.concat(*hits) if hits else empty)
+    surface = lambda t: F.array_join(F.slice(words, t["start"] + 1, t["end"] - t["start"]), " ")
+    terms = F.transform(packed(F.col("_hits")), lambda t: F.struct(
+        t["start"].alias("start"), t["end"].alias("end"), surface(t).alias("surface"), t["canonical"].alias("canonical"), t["type"].alias("type"), t["concept_id"].alias("concept_id")
+    ))
+    return found.withColumn(out, terms).drop("_hits").where(F.size(out) > 0)

@@ -116,7 +116,10 @@ def bootstrap_interval(
             values = _exact_draws(by_cluster, metric, n_resamples, seed)
         else:
             drawn = hash_draws(by_cluster, n_resamples, 0 if seed is None else seed)
-            values = sorted(r[metric] for r in with_rates(drawn).select(metric).collect())
+            # A resample without any cluster has no rate.
+            values = sorted(r[metric] for r in with_rates(drawn.where("drawn > 0")).select(metric).collect())
+            if not values:
+                raise ValueError("no resample drew a cluster; ask for more resamples or for seeded draws")
     finally:
         by_cluster.unpersist()
     tail = (1 - confidence) / 2
@@ -153,22 +156,25 @@ def poisson_times(cluster: np.ndarray, resample: np.ndarray, seed: int) -> np.nd
 
 
 def hash_draws(by_cluster: DataFrame, n_resamples: int, seed: int) -> DataFrame:
-    """``resample`` and summed counts: each cluster enters a resample a Poisson(1) number of times.
+    """``resample``, summed counts and ``drawn``, the draws in all: each cluster enters a resample a Poisson(1) number of times.
 
     A task sends one partial row per resample.
     """
-    arrow = pa.schema([("resample", pa.int32())] + [(f, pa.int64()) for f in FIELDS])
+    names = (*FIELDS, "drawn")
+    arrow = pa.schema([("resample", pa.int32())] + [(f, pa.int64()) for f in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, resamples = np.zeros((n_resamples, len(FIELDS)), dtype=np.int64), np.arange(n_resamples)
+        total, resamples = np.zeros((n_resamples, len(names)), dtype=np.int64), np.arange(n_resamples)
         for batch in batches:
-            counts = np.stack([batch.column(f).to_numpy() for f in FIELDS], axis=1)
+            ones = np.ones(batch.num_rows, dtype=np.int64)
+            counts = np.stack([*(batch.column(f).to_numpy() for f in FIELDS), ones], axis=1)
             clusters = batch.column("cluster").to_numpy()
             for i in range(0, len(clusters), CLUSTERS_AT_ONCE):
                 part = slice(i, i + CLUSTERS_AT_ONCE)
                 total += poisson_times(clusters[part], resamples, seed).T @ counts[part]
-        columns = [pa.array(resamples.astype(np.int32)), *(pa.array(total[:, i]) for i in range(len(FIELDS)))]
+        columns = [pa.array(resamples.astype(np.int32)), *(pa.array(total[:, i]) for i in range(len(names)))]
         yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    ddl = "resample int, " + ", ".join(f"{f} long" for f in FIELDS)
-    return by_cluster.select("cluster", *FIELDS).mapInArrow(run, ddl).groupBy("resample").agg(*sums())
+    ddl = "resample int, " + ", ".join(f"{f} long" for f in names)
+    partial = by_cluster.select("cluster", *FIELDS).mapInArrow(run, ddl)
+    return partial.groupBy("resample").agg(*sums(), F.sum("drawn").alias("drawn"))

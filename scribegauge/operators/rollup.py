@@ -20,29 +20,29 @@ def sums() -> list[Column]:
     return [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in (*COUNT_FIELDS, *PRF_FIELDS)]
 
 
-def _version_guard() -> list[Column]:
-    """Whether all versions are alike, by the range of their hash, which needs no shuffle of its own."""
-    versions = F.xxhash64(*VERSION_FIELDS)
-    return [(F.min(versions) != F.max(versions)).alias("_mixed")]
+def version_guard() -> list[Column]:
+    """Whether all versions are alike, by the least and the greatest of them, which needs no shuffle of its own; an absent version is one by itself."""
+    versions = F.struct(*(F.struct(F.col(v).isNull().alias("absent"), F.col(v).alias("version")) for v in VERSION_FIELDS))
+    return [(~F.min(versions).eqNullSafe(F.max(versions))).alias("_mixed")]
 
 
 def _versions() -> list[Column]:
     return [F.first(v).alias(v) for v in VERSION_FIELDS]
 
 
-def _guarded(df: DataFrame) -> DataFrame:
+def guarded(df: DataFrame) -> DataFrame:
     mixed = F.raise_error(F.lit("cannot aggregate results of different benchmark versions"))
     return df.where(F.when(F.col("_mixed"), mixed.cast("boolean")).otherwise(F.lit(True))).drop("_mixed")
 
 
 def corpus_counts(results: DataFrame) -> DataFrame:
     """One row of summed counts and rates; no results give all zeros."""
-    return with_rates(_guarded(results.agg(*sums(), *_version_guard(), *_versions())))
+    return with_rates(guarded(results.agg(*sums(), *version_guard(), *_versions())))
 
 
 def group_counts(results: DataFrame, *by: Column | str) -> DataFrame:
     """Summed counts and rates by native columns, in one shuffle with map-side sums."""
-    return with_rates(_guarded(results.groupBy(*by).agg(*sums(), *_version_guard())))
+    return with_rates(guarded(results.groupBy(*by).agg(*sums(), *version_guard())))
 
 
 def grouping_sets(results: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -61,7 +61,7 @@ def type_counts(results: DataFrame, *by: Column | str) -> DataFrame:
     """``family, type, tp, fp, fn`` and rates over all results (or by group)."""
     events = results.select(*by, *VERSION_FIELDS, F.inline("per_type"))
     names = [c for c in events.columns if c not in ("tp", "fp", "fn", *VERSION_FIELDS)]
-    out = _guarded(events.groupBy(*names).agg(*(F.sum(x).alias(x) for x in ("tp", "fp", "fn")), *_version_guard()))
+    out = guarded(events.groupBy(*names).agg(*(F.sum(x).alias(x) for x in ("tp", "fp", "fn")), *version_guard()))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return out.withColumns({"precision": precision(tp, fp, fn), "recall": recall(tp, fn), "f1": f1(tp, fp, fn)})
 
@@ -94,8 +94,8 @@ def metadata_groups(results: DataFrame, field: str) -> DataFrame:
     marked = results.withColumn("_label", group_label(field))
     summed = marked.groupBy(F.col("_label.label").alias("label")).agg(
         F.min("ordinal").alias("first"), F.min("_label.identity").alias("_low"), F.max("_label.identity").alias("_high"),
-        *sums(), *_version_guard(), *_versions(),
+        *sums(), *version_guard(), *_versions(),
     )
     clash = F.raise_error(F.concat(F.lit(f"metadata group labels collide for {field}: "), F.col("label")))
     checked = summed.withColumn("_clash", F.when(F.col("_low") != F.col("_high"), clash).otherwise(F.lit(None).cast("string")))
-    return with_rates(_guarded(checked.where(F.col("_clash").isNull()).drop("_clash", "_low", "_high")))
+    return with_rates(guarded(checked.where(F.col("_clash").isNull()).drop("_clash", "_low", "_high")))

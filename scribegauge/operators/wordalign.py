@@ -138,6 +138,29 @@ def _aligned(ref: pa.Array, hyp: pa.Array) -> pa.Array:
     return pa.array([None if a is None or b is None else step_rows(align_tokens(a, b)) for a, b in pairs], pa.list_(STEP_TYPE))
 
 
+LINKS = pa.struct([
+    ("to_hyp", pa.list_(pa.int32())), ("to_ref", pa.list_(pa.int32())), ("changed", pa.list_(pa.int32())), ("deleted", pa.list_(pa.int32())),
+    ("inserted", pa.list_(pa.struct([("hyp", pa.int32()), ("boundary", pa.int32())]))),
+])
+
+
+def _link_row(ref: list[str] | None, hyp: list[str] | None) -> dict | None:
+    if ref is None or hyp is None:
+        return None
+    found = align_tokens(ref, hyp)
+    return {
+        "to_hyp": found.ref_to_hyp, "to_ref": found.hyp_to_ref, "changed": [i for i, _, move, _ in found.steps if move == SUBSTITUTE],
+        "deleted": [i for i, _, move, _ in found.steps if move == DELETE],
+        "inserted": [{"hyp": h, "boundary": at} for _, h, move, at in found.steps if move == INSERT],
+    }
+
+
+@F.arrow_udf(from_arrow_type(LINKS))
+def linked(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """The alignment as links: the counterpart of each token, and the places of the edits."""
+    return pa.array([_link_row(a, b) for a, b in zip(ref.to_pylist(), hyp.to_pylist())], LINKS)
+
+
 def with_alignment(df: DataFrame, ref: str = "ref_tokens", hyp: str = "hyp_tokens", out: str = "alignment") -> DataFrame:
     """Add the alignment of two token columns, which alone cross to Python; null tokens give a null alignment."""
     return df.withColumn(out, _aligned(F.col(ref), F.col(hyp)))

@@ -137,8 +137,12 @@ def score_corpus(
 
 
 def score_sample(reference: str, hypothesis: str, annotations: dict | None = None, **options) -> dict:
-    """One sample without Spark: counts, rates and matches."""
-    row = Scorer(**options).score(reference, hypothesis, annotations)
+    """One sample by itself: counts, rates and matches; its fault is a ``ValueError``."""
+    scorer = Scorer(**options)
+    samples = from_records(SparkSession.builder.getOrCreate(), [{"sample_id": "sample", "reference": reference, "hypothesis": hypothesis, "annotations": annotations or {}}])
+    row = score_samples(samples, scorer, include_alignment=True).first().asDict(recursive=True)
+    if row["error"]:
+        raise ValueError(row["error"].removeprefix("sample: "))
     return reports.result_dict(row, row["per_type"], include_alignment=True)
 
 

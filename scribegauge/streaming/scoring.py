@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.rollup import sums
+from ..operators.rollup import guarded, sums, version_guard
 from ..operators.scoring import Scorer, score_samples
 
 
@@ -19,6 +19,6 @@ def score_stream(samples: DataFrame, scorer: Scorer | None = None) -> DataFrame:
 
 
 def windowed_counts(results: DataFrame, time: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Summed counts by event-time window; rates follow from the sums downstream."""
+    """Summed counts by event-time window; rates follow from the sums downstream, and mixed versions in one window are an error."""
     timed = results.withWatermark(time, late).groupBy(F.window(time, width).alias("window"))
-    return timed.agg(*sums())
+    return guarded(timed.agg(*sums(), *version_guard()))

@@ -64,6 +64,11 @@ def test_tables_and_mixed_versions(report, spark, tmp_path):
         assert sums_of(report.results).count() > 0
         with pytest.raises(Exception, match="different benchmark versions"):
             sums_of(mixed).collect()
+    # Absent versions do not change places.
+    swapped = report.results.where("sample_id != 'empty'").withColumns({
+        "terminology_version": F.when(F.col("sample_id") == "long", "v1"), "annotation_guideline_version": F.when(F.col("sample_id") == "short", "v1")})
+    with pytest.raises(Exception, match="different benchmark versions"):
+        corpus_counts(swapped).collect()
 
 
 def test_clusters_and_bootstrap(report):

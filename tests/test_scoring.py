@@ -1,11 +1,21 @@
 """Known answers of alignment, detection, slots and matching."""
 
+import random
+import sys
+
 import pytest
+from pyspark import cloudpickle
 
-from scribegauge.operators.lexicon import Combined, Lexicon
-from scribegauge.operators.scoring import Scorer
+from scribegauge.operators.lexicon import Automaton, Combined, Lexicon, Term
+from scribegauge.operators.scoring import GermanCanonicalizer, Scorer, score_samples
 from scribegauge.operators.slotscan import Slot
 from scribegauge.plans.evaluation import score_sample
+from scribegauge.sources import reports
+from scribegauge.sources.datasets import from_records
+
+pytestmark = pytest.mark.usefixtures("spark")
+# Plug-ins of this module travel to the workers, which cannot import it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MEDS = [{"surface": d, "canonical": d, "type": "MEDICATION"} for d in ("metoprolol", "ramipril", "aspirin", "metamizol")]
 CLINICAL = MEDS + [
@@ -35,6 +45,17 @@ def score(ref, hyp, entities=(), slots=(), terms=CLINICAL, **options):
     return score_sample(ref, hyp, {"entities": list(entities), "critical_slots": list(slots)}, **options)
 
 
+def score_all(spark, cases, terms=CLINICAL, **options):
+    """Results of ``(reference, hypothesis, entities, slots)`` in order, or their faults, from one plan."""
+    options.setdefault("recognizer", Lexicon(terms) if terms else None)
+    samples = [
+        {"sample_id": f"s{i}", "reference": ref, "hypothesis": hyp, "annotations": {"entities": list(entities), "critical_slots": list(slots)}}
+        for i, (ref, hyp, entities, slots) in enumerate(cases)
+    ]
+    rows = [r.asDict(recursive=True) for r in score_samples(from_records(spark, samples), Scorer(**options)).orderBy("ordinal").collect()]
+    return [r["error"] or reports.result_dict(r, r["per_type"]) for r in rows]
+
+
 def triple(result, family):
     return tuple(result[f"{family}_{x}"] for x in ("tp", "fp", "fn"))
 
@@ -42,16 +63,13 @@ def triple(result, family):
 MG50 = slot("s", "e", "DOSE", 1, 3, "50 mg", {"value": 50, "unit": "mg"})
 
 
-@pytest.mark.parametrize(
-    ("hyp", "expected"),
-    [
-        ("der patient nimmt metoprolol", (0, 0, 0)), ("die patient nimmt metoprolol", (0, 0, 0)),
-        ("der patient nimmt metamizol", (1, 0, 0)), ("der patient nimmt", (0, 1, 0)), ("der patient nimmt metoprolol und aspirin", (0, 0, 1)),
-    ],
-)
-def test_medical_errors(hyp, expected):
-    r = score("der patient nimmt metoprolol", hyp, [drug(3, "metoprolol")], terms=MEDS)
-    assert (r["medical_substitutions"], r["medical_deletions"], r["medical_insertions"]) == expected
+def test_medical_errors(spark):
+    wanted = {
+        "der patient nimmt metoprolol": (0, 0, 0), "die patient nimmt metoprolol": (0, 0, 0), "der patient nimmt metamizol": (1, 0, 0),
+        "der patient nimmt": (0, 1, 0), "der patient nimmt metoprolol und aspirin": (0, 0, 1),
+    }
+    found = score_all(spark, [("der patient nimmt metoprolol", hyp, [drug(3, "metoprolol")], ()) for hyp in wanted], terms=MEDS)
+    assert [(r["medical_substitutions"], r["medical_deletions"], r["medical_insertions"]) for r in found] == list(wanted.values())
 
 
 def test_medical_rate_without_reference_words_and_with_overlaps():
@@ -62,15 +80,13 @@ def test_medical_rate_without_reference_words_and_with_overlaps():
     assert (r["medical_reference_word_count"], r["mt_wer"]) == (2, 0.5)
 
 
-@pytest.mark.parametrize(
-    ("ref", "hyp", "start", "expected"),
-    [
+def test_entities(spark):
+    wanted = [
         ("metoprolol", "metamizol", 0, (0, 1, 1)), ("metoprolol", "", 0, (0, 0, 1)), ("metoprolol", "ramipril und aspirin", 0, (0, 2, 1)),
         ("nimmt ramipril", "nimmt ramipril und aspirin", 1, (1, 1, 0)),
-    ],
-)
-def test_entities(ref, hyp, start, expected):
-    assert triple(score(ref, hyp, [drug(start, ref.split()[start])]), "entity") == expected
+    ]
+    found = score_all(spark, [(ref, hyp, [drug(start, ref.split()[start])], ()) for ref, hyp, start, _ in wanted])
+    assert [triple(r, "entity") for r in found] == [w[-1] for w in wanted]
 
 
 def test_entity_occurrences_aliases_and_types():
@@ -89,36 +105,35 @@ def test_entity_occurrences_aliases_and_types():
     assert score("metoprolol", "metoprolol", [drug(0, "metoprolol")], terms=wrong, require_entity_type=False)["entity_f1"] == 1.0
 
 
-@pytest.mark.parametrize(
-    ("hyp", "expected"),
-    [
-        ("metoprolol 50 mg", (1, 0, 0)), ("metoprolol 500 mg", (0, 1, 1)), ("metoprolol 0,5 mg", (0, 1, 1)), ("metoprolol 50 g", (0, 1, 1)),
-        ("metoprolol fünfzig milligramm", (1, 0, 0)), ("metoprolol 50 milligramm", (1, 0, 0)), ("metoprolol", (0, 0, 1)), ("metamizol 50 mg", (0, 1, 1)),
-    ],
-)
-def test_doses(hyp, expected):
-    assert triple(score("metoprolol 50 mg", hyp, [drug(0, "metoprolol")], [MG50]), "critical") == expected
+def test_doses(spark):
+    wanted = {
+        "metoprolol 50 mg": (1, 0, 0), "metoprolol 500 mg": (0, 1, 1), "metoprolol 0,5 mg": (0, 1, 1), "metoprolol 50 g": (0, 1, 1),
+        "metoprolol fünfzig milligramm": (1, 0, 0), "metoprolol 50 milligramm": (1, 0, 0), "metoprolol": (0, 0, 1), "metamizol 50 mg": (0, 1, 1),
+    }
+    found = score_all(spark, [("metoprolol 50 mg", hyp, [drug(0, "metoprolol")], [MG50]) for hyp in wanted])
+    assert [triple(r, "critical") for r in found] == list(wanted.values())
 
 
-def test_other_slots():
+def test_other_slots(spark):
     pain = entity("e", 1, 2, "thoraxschmerzen", "chest_pain", "SYMPTOM")
-    r = score("keine thoraxschmerzen", "thoraxschmerzen", [pain], [slot("s", "e", "NEGATION", 0, 1, "keine", True)])
-    assert triple(r, "critical") == (0, 1, 1) and r["critical_matches"][0]["hypothesis_canonical"] is False
     knee = entity("e", 1, 2, "knie", "knee", "ANATOMY")
-    r = score("linkes knie", "rechtes knie", [knee], [slot("s", "e", "LATERALITY", 0, 1, "linkes", "left")])
-    assert triple(r, "critical") == (0, 1, 1)
-    often = slot("s", "e", "FREQUENCY", 1, 2, "morgens", "morning")
-    assert triple(score("ramipril morgens", "ramipril morgens und abends", [drug(0, "ramipril")], [often]), "critical") == (0, 1, 1)
-    assert triple(score("ramipril", "ramipril 5 mg", [drug(0, "ramipril")]), "critical") == (0, 1, 0)
     pulse = entity("e", 0, 1, "puls", "pulse", "CLINICAL_FINDING")
-    r = score("puls -5", "puls 5", [pulse], [slot("s", "e", "NUMERIC_VALUE", 1, 2, "-5", -5)])
-    assert triple(r, "critical") == (0, 1, 1) and r["wer"] == 0.5
     bp = entity("e", 0, 1, "blutdruck", "blood_pressure", "CLINICAL_FINDING")
-    r = score("blutdruck 120/80", "blutdruck 120/80 puls 170", [bp], [slot("s", "e", "VITAL_VALUE", 1, 2, "120/80", "120/80")])
-    assert triple(r, "critical") == (1, 1, 0) and triple(r, "entity") == (1, 1, 0)
     both = [drug(0, "ramipril", "e"), drug(1, "metoprolol", "f")]
     text, dose = "ramipril metoprolol 5 mg", slot("s", "e", "DOSE", 2, 4, "5 mg", {"value": 5, "unit": "mg"})
-    assert triple(score(text, text, both, [dose]), "critical") == (0, 1, 1)
+    r = score_all(spark, [
+        ("keine thoraxschmerzen", "thoraxschmerzen", [pain], [slot("s", "e", "NEGATION", 0, 1, "keine", True)]),
+        ("linkes knie", "rechtes knie", [knee], [slot("s", "e", "LATERALITY", 0, 1, "linkes", "left")]),
+        ("ramipril morgens", "ramipril morgens und abends", [drug(0, "ramipril")], [slot("s", "e", "FREQUENCY", 1, 2, "morgens", "morning")]),
+        ("ramipril", "ramipril 5 mg", [drug(0, "ramipril")], ()),
+        ("puls -5", "puls 5", [pulse], [slot("s", "e", "NUMERIC_VALUE", 1, 2, "-5", -5)]),
+        ("blutdruck 120/80", "blutdruck 120/80 puls 170", [bp], [slot("s", "e", "VITAL_VALUE", 1, 2, "120/80", "120/80")]),
+        (text, text, both, [dose]),
+        ("ramipril eine tablette", "ramipril eine tablette", [drug(0, "ramipril")], [slot("s", "e", "FORM", 1, 3, "eine tablette", "eine tablette")]),
+        ("puls links fünf", "puls links fünf", [pulse], [slot("s", "e", "UNIT", 1, 2, "links", "mg"), slot("t", "e", "VITAL_VALUE", 2, 3, "fünf", "5.0")]),
+    ])
+    assert [triple(x, "critical") for x in r] == [(0, 1, 1), (0, 1, 1), (0, 1, 1), (0, 1, 0), (0, 1, 1), (1, 1, 0), (0, 1, 1), (1, 1, 0), (1, 1, 1)]
+    assert r[0]["critical_matches"][0]["hypothesis_canonical"] is False and r[4]["wer"] == 0.5 and triple(r[5], "entity") == (1, 1, 0)
 
 
 def test_swapped_doses():
@@ -153,6 +168,45 @@ class Tablets:
         return [Slot(i - 1, i + 1, a.start, a.end, "DOSE", {"value": 5, "unit": "mg"}, "eine tablette") for i in at for a in anchors[:1]]
 
 
+class Shouting(GermanCanonicalizer):
+    """A plug-in canonicalizer that knows one alias and hears doses in tablets."""
+
+    def entity(self, tokens, entity_type, recognizer):
+        return "metoprolol" if tokens == ["beloc"] else super().entity(tokens, entity_type, recognizer)
+
+    def slot(self, tokens, slot_type):
+        return super().slot([t.replace("tabletten", "mg") for t in tokens], slot_type)
+
+
+def test_plug_in_canonicalizer():
+    dose = slot("s", "e", "DOSE", 1, 3, "50 mg", {"value": 50, "unit": "mg"})
+    r = score("metoprolol 50 mg", "beloc 50 tabletten", [drug(0, "metoprolol")], [dose], canonicalizer=Shouting())
+    assert triple(r, "entity") == (1, 0, 0) and triple(r, "critical") == (1, 0, 0)
+    assert r["critical_matches"][0]["hypothesis_canonical"] == {"unit": "mg", "value": 50}
+
+
+class Initials:
+    """A plug-in recognizer."""
+
+    def extract(self, tokens):
+        return [Term(i, i + 1, t, "metoprolol", "MEDICATION") for i, t in enumerate(tokens) if t in ("m", "metoprolol")]
+
+
+def test_plug_in_recognizer():
+    r = score("metoprolol", "m", [drug(0, "metoprolol")], recognizer=Initials())
+    assert triple(r, "entity") == (1, 0, 0) and r["medical_substitutions"] == 1
+
+
+def test_automaton_finds_what_the_dictionary_finds():
+    rng = random.Random(4)
+    for _ in range(200):
+        keys = list({tuple(rng.choices("abc", k=rng.randint(1, 4))) for _ in range(rng.randint(1, 8))})
+        words = rng.choices("abcd", k=rng.randint(0, 14))
+        want = {(i, i + len(k), n) for n, k in enumerate(keys) for i in range(len(words)) if tuple(words[i : i + len(k)]) == k}
+        got = Automaton(keys).occurrences(words)
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_plug_ins():
     dose = slot("s", "e", "DOSE", 1, 3, "5 mg", {"value": 5, "unit": "mg"})
     r = score("metoprolol 5 mg", "metoprolol eine tablette", [drug(0, "metoprolol")], [dose], terms=None, slot_recognizer=Tablets())
@@ -166,30 +220,24 @@ def test_plug_ins():
     assert bare["entity_f1"] == bare["critical_f1"] == 1.0
 
 
-@pytest.mark.parametrize(
-    ("change", "message"),
-    [
-        ({"ref_start": -1}, "span"), ({"ref_end": 9}, "span"), ({"ref_start": True}, "span"), ({"surface": "other"}, "surface"),
-        ({"canonical": ""}, "canonical"), ({"id": ""}, "id"), ({"type": ""}, "type"),
-    ],
-)
-def test_entity_faults(change, message):
-    with pytest.raises(ValueError, match=message):
-        score("metoprolol", "metoprolol", [drug(0, "metoprolol") | change], terms=None)
-
-
-@pytest.mark.parametrize(
-    ("change", "message"),
-    [
+def test_faults(spark):
+    wrong_entities = [
+        ({"ref_start": -1}, "span"), ({"ref_end": 9}, "span"), ({"surface": "other"}, "surface"), ({"canonical": ""}, "canonical"), ({"id": ""}, "id"), ({"type": ""}, "type"),
+    ]
+    wrong_slots = [
         ({"anchor_entity_id": "x"}, "anchor"), ({"id": "e"}, "unique"), ({"canonical": None}, "required"), ({"canonical": 5}, "value/unit"),
         ({"canonical": {"value": "nan", "unit": "mg"}}, "finite"), ({"canonical": {"value": True, "unit": "mg"}}, "boolean"),
         ({"canonical": {"value": 1, "unit": "foo"}}, "unit"), ({"canonical": {"value": 1, "unit": "mg", "x": 1}}, "exactly"),
         ({"type": "NEGATION", "canonical": "yes"}, "boolean"), ({"type": "LATERALITY", "canonical": {}}, "LATERALITY"),
-    ],
-)
-def test_slot_faults(change, message):
-    with pytest.raises(ValueError, match=message):
-        score("metoprolol 50 mg", "", [drug(0, "metoprolol")], [MG50 | change], terms=None)
+        ({"type": "LAB_VALUE", "canonical": "abc"}, "not a clinical number: 'abc'"), ({"type": "FREQUENCY", "canonical": 5}, "non-empty string"),
+    ]
+    met = drug(0, "metoprolol")
+    cases = [("metoprolol", "metoprolol", [met | change], ()) for change, _ in wrong_entities] + [("metoprolol 50 mg", "", [met], [MG50 | change]) for change, _ in wrong_slots]
+    found = score_all(spark, cases, terms=None)
+    for fault, (_, message) in zip(found, wrong_entities + wrong_slots, strict=True):
+        assert isinstance(fault, str) and message in fault
+    with pytest.raises(ValueError, match="span"):
+        score("metoprolol", "metoprolol", [met | {"ref_start": True}], terms=None)
 
 
 def test_overlap_is_a_fault_unless_allowed():
