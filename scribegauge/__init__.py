@@ -8,7 +8,7 @@ __version__ = "0.1.0"
 _NAMES = {
     "api": (
         "AlignmentResult Annotations BenchmarkSample CriticalSlotAnnotation EntityAnnotation Normalizer PRFCounts ProjectedSpan "
-        "align as_records default_transform load_dataset normalize_tokens project_span_of validate_annotations"
+        "align default_transform load_dataset normalize_tokens project_span_of validate_annotations"
     ),
     "functions.schemas": "SCHEMA_VERSION",
     "functions.text": "NORMALIZATION_VERSION",

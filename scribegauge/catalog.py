@@ -131,9 +131,14 @@ def scores_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def span_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the dose's reference span lies in each hypothesis."""
+    """Where the dose's reference span lies in each hypothesis; every third one has further words inside the span.
+
+    Where a wrong dose stands before such words, the last of them is its counterpart: a substitution
+    goes before an insertion that is only as good, read from the end.
+    """
     samples = template_samples(spark, sf_dir)
-    pairs = samples.select("sample_id", tokens(F.col("reference"), True).alias("ref_tokens"), tokens(F.col("hypothesis"), True).alias("hyp_tokens"))
+    said = F.when(F.col("ordinal") % 3 == 0, F.regexp_replace("hypothesis", " (mg|Milligramm) ", " also etwa $1 ")).otherwise(F.col("hypothesis"))
+    pairs = samples.select("sample_id", tokens(F.col("reference"), True).alias("ref_tokens"), tokens(said, True).alias("hyp_tokens"))
     found = with_alignment(pairs).select("sample_id", project_span(F.col("alignment"), F.lit(3), F.lit(5)).alias("p"))
     return found.select("sample_id", "p.hyp_start", "p.hyp_end")
 
@@ -215,9 +220,11 @@ def detected_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def number_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = number_dimension(spark)
+    """The words for the part numbers of order lines (their last four digits), and how many lines each thousand has."""
+    lines = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 10_000).alias("value")).agg(F.count("*").alias("lines"))
+    words = lines.join(F.broadcast(number_dimension(spark)), "value")
     return words.groupBy((F.col("value") / 1000).cast("long").alias("thousands")).agg(
-        F.count("*").alias("n"), F.sum("value").alias("total"), F.sum(F.length("word")).cast("long").alias("letters")
+        F.count("*").alias("n"), F.sum("value").alias("total"), F.sum(F.length("word")).cast("long").alias("letters"), F.sum("lines").alias("lines")
     )
 
 
@@ -380,7 +387,9 @@ ORACLE_SQL = {
     ),
     "scores_by_type": _type_sql(),
     "span_projection": f"""SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS sample_id,
-        CAST(CASE WHEN c = 3 THEN NULL ELSE 3 END AS INTEGER) AS hyp_start, CAST(CASE WHEN c = 3 THEN NULL ELSE 5 END AS INTEGER) AS hyp_end FROM {_CLASSES}""",
+        CAST(CASE WHEN c = 3 THEN NULL WHEN c = 1 AND inner_words THEN 5 ELSE 3 END AS INTEGER) AS hyp_start,
+        CAST(CASE WHEN c = 3 THEN NULL WHEN inner_words THEN 7 ELSE 5 END AS INTEGER) AS hyp_end
+        FROM (SELECT *, (((l_orderkey * 8 + l_linenumber) * 1048576 + l_partkey) * 1024 + l_suppkey) % 3 = 0 AS inner_words FROM {_CLASSES})""",
     "annotation_violations": """SELECT l_returnflag, rule, count(*) AS n FROM (SELECT l_returnflag,
         CASE l_orderkey % 7 WHEN 1 THEN 'ids' WHEN 2 THEN 'type' WHEN 3 THEN 'span' WHEN 4 THEN 'canonical' WHEN 5 THEN 'overlap' WHEN 6 THEN 'anchor' END AS rule
         FROM lineitem) WHERE rule IS NOT NULL GROUP BY ALL""",
@@ -411,8 +420,10 @@ ORACLE_SQL = {
         hundreds AS (SELECT d.w || 'hundert' || r.w AS w, 100 * d.n + r.n AS n FROM (SELECT * FROM digits UNION ALL SELECT '', 1) d, rest r),
         thousands AS (SELECT d.w || 'tausend' || r.w AS w, 1000 * d.n + r.n AS n FROM (SELECT * FROM digits UNION ALL SELECT '', 1) d,
             (SELECT * FROM rest UNION ALL SELECT * FROM hundreds) r)
-        SELECT CAST(n // 1000 AS BIGINT) AS thousands, count(*) AS n, CAST(sum(n) AS BIGINT) AS total, CAST(sum(length(w)) AS BIGINT) AS letters
-        FROM (SELECT * FROM low UNION ALL SELECT * FROM hundreds UNION ALL SELECT * FROM thousands) GROUP BY n // 1000""",
+        SELECT CAST(n // 1000 AS BIGINT) AS thousands, count(*) AS n, CAST(sum(n) AS BIGINT) AS total, CAST(sum(length(w)) AS BIGINT) AS letters,
+          CAST(sum(lines) AS BIGINT) AS lines
+        FROM (SELECT * FROM low UNION ALL SELECT * FROM hundreds UNION ALL SELECT * FROM thousands)
+          JOIN (SELECT l_partkey % 10000 AS n, count(*) AS lines FROM lineitem GROUP BY 1) USING (n) GROUP BY n // 1000""",
     "slot_values": """WITH q AS (SELECT CAST(l_quantity AS INTEGER) AS n FROM lineitem), v AS (
         SELECT n || ' mg' AS span, 'DOSE' AS kind, '{"value": ' || n || ', "unit": "mg"}' AS value FROM q
         UNION ALL SELECT n || ',5 Prozent', 'LAB_VALUE', '{"value": ' || n || '.5, "unit": "%"}' FROM q

@@ -1,8 +1,8 @@
 """Word alignment of token arrays.
 
-The full alignment (with its tie-break) runs in the scoring kernel or in
-:func:`with_alignment`, an Arrow function without a shuffle.  Counts alone come
-from :func:`edit_distance`, a fold of built-in expressions.
+The full alignment (with its tie-break) is an Arrow function without a shuffle,
+as steps (:func:`with_alignment`) or as links for scoring (:func:`linked`).
+Counts alone come from :func:`edit_distance`, a fold of built-in expressions.
 """
 
 from __future__ import annotations
