@@ -62,7 +62,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model).select("doc_id", "held_out", "score", "predicted")
+    return toxicity.score_documents(docs, model).select("doc_id", "held_out", "score", "predicted", "toxic")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,10 +130,11 @@ def _url_key(url: str) -> str:
     return f"nullif({_url_host(url)} || {dotless} || {_url_part(url, '[^?#]*([^#]*)')}, '')"
 
 
-_TAG = """regexp_extract(list_filter(regexp_extract_all(coalesce(html, ''), '(?is)<{tag}\\b[^>]*>'),
+_SEEN = f"regexp_replace(coalesce(html, ''), '{url_filter.PASSIVE}', '', 'g')"
+_TAG = """regexp_extract(list_filter(regexp_extract_all({seen}, '(?is)<{tag}\\b[^>]*>'),
     lambda x: regexp_matches(x, '(?i)\\b{mark}'))[1], '(?i)\\b{at}\\s*=\\s*["'']?([^"''\\s>]+)', 1)"""
-_CANONICAL = _TAG.format(tag="link", mark="rel\\s*=\\s*[\"'']?canonical\\b", at="href")
-_REFRESH = _TAG.format(tag="meta", mark="http-equiv\\s*=\\s*[\"'']?refresh\\b", at="url")
+_CANONICAL = _TAG.format(seen=_SEEN, tag="link", mark="rel\\s*=\\s*[\"'']?canonical\\b", at="href")
+_REFRESH = _TAG.format(seen=_SEEN, tag="meta", mark="http-equiv\\s*=\\s*[\"'']?refresh\\b", at="url")
 
 _URL_SQL = f"""WITH RECURSIVE found AS (
     SELECT url, regexp_replace(unnest([{_CANONICAL}, {_REFRESH}]), '(?i)&(amp|#38|#x26);', '&', 'g') AS target FROM pages),

@@ -90,12 +90,20 @@ def match_rule(host: Column, path: Column, rules: Sequence[UrlRule]) -> Column:
     return F.get(known, at)
 
 
+#: What holds no elements of the page, even if its text looks like some; unclosed, it reaches to the end.
+PASSIVE = "(?is)<!--.*?(?:-->|\\z)|" + "|".join(f"<{tag}\\b[^>]*>.*?(?:</{tag}\\b|\\z)" for tag in ("script", "style", "textarea", "title"))
+
+
 def html_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Edges ``(src, dst)`` of URL keys from canonical links and refresh redirects."""
-    html = F.coalesce(F.col(html_col), F.lit(""))
+    """Edges ``(src, dst)`` of URL keys from canonical links and refresh redirects.
+
+    Comments, scripts, styles, text areas and titles hold no elements.
+    """
+    raw = F.coalesce(F.col(html_col), F.lit(""))
+    html = F.regexp_replace(raw, PASSIVE, "")
     canonical = F.regexp_extract(html, r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     refresh = F.regexp_extract(html, r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    marked = html.rlike(r"(?i)\bcanonical\b|\brefresh\b")
+    marked = raw.rlike(r"(?i)\bcanonical\b|\brefresh\b")
     found = pages.where(marked).select(
         F.col(url_col).alias("_uf_url"),
         F.explode(F.array(canonical, refresh)).alias("_uf_to"),

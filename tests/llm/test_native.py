@@ -51,8 +51,12 @@ def test_edges_from_html(spark):
         (1, "http://a.net/x/y", '<link rel="canonical" href="/z">', ""), (2, "http://a.net/q", '<meta http-equiv="refresh" content="0; url=http://B.net/r#t">', ""),
         (3, "http://a.net/x/y", '<link href="w" rel=canonical>', ""), (4, None, '<link rel="canonical" href="/z">', ""), (5, "http://a.net/s", None, ""),
     ]
+    link = '<link rel="canonical" href="/bad">'
+    hidden = [f"<!-- {link} -->", f"<script>var x = '{link}';</script>", f"<TEXTAREA rows=2>{link}</TEXTAREA >", f"<style>{link}", f"<!-- {link}"]
+    rows += [(10 + i, "http://h.net/p", text, "") for i, text in enumerate(hidden)]
+    rows += [(20, "http://a.net/v", '<!-- old --><link rel="canonical" href="/seen"><script></script>', "")]
     got = {tuple(r) for r in url_filter.html_edges(spark.createDataFrame(rows, PAGES)).collect()}
-    assert got == {("a.net/x/y", "a.net/z"), ("a.net/q", "b.net/r"), ("a.net/x/y", "a.net/x/w")}
+    assert got == {("a.net/x/y", "a.net/z"), ("a.net/q", "b.net/r"), ("a.net/x/y", "a.net/x/w"), ("a.net/v", "a.net/seen")}
 
 
 def test_targets_are_resolved(spark):
