@@ -272,12 +272,16 @@ class Scorer:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple]:
-    """At most ``rows`` of ``(doc_id, text, lang, toxic)`` outside the held-out fold, in a fixed order."""
+    """At most ``rows`` of ``(doc_id, text, lang, toxic)`` outside the held-out fold, in a fixed order.
+
+    Of rows that share an id one is taken, that with the smallest text, so the bound holds for any repetition.
+    """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold_of(F.col("doc_id")) != HELD_OUT_FOLD))
     one = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = docs.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id").collect()
-    return sorted(((r["doc_id"], r["text"] or "", r["lang"], r["toxic"]) for r in got), key=lambda r: (r[0], r[1]))
+    said = docs.select("doc_id", F.struct(F.coalesce("text", F.lit("")).alias("text"), "lang").alias("said"))
+    got = said.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("said").alias("said")).collect()
+    return sorted((r["doc_id"], r["said"]["text"], r["said"]["lang"], r["toxic"]) for r in got)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:

@@ -222,6 +222,15 @@ def test_toxicity_learns_and_holds_out(spark):
     assert toxicity.score_documents(docs, blank).where("toxic").isEmpty()
 
 
+def test_training_rows_are_bounded(spark):
+    docs = frame(spark, [(i % 30, f"text {i % 30 if i < 60 else i}", "web") for i in range(400)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(30)], LABELS)
+    got = toxicity.training_rows(docs, labels, 10)
+    assert len(got) == 10 == len({r[0] for r in got}) and all(zlib.crc32(str(r[0]).encode()) % 4 != 2 for r in got)
+    wanted = {i: min(f"text {j % 30 if j < 60 else j}" for j in range(400) if j % 30 == i) for i in range(30)}
+    assert all(r[1] == wanted[r[0]] and r[3] == r[0] % 2 for r in got)
+
+
 def test_score_does_not_depend_on_chunks():
     model = toxicity.train(["a b c"] * 20 + ["bad thing"] * 20, [0] * 20 + [1] * 20, ["en"] * 40)
     score = toxicity.Scorer(model)
