@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from scribegauge import catalog, catalog_more
 from scribegauge.operators import scoring
+from scribegauge.operators.resample import cluster_sums, with_clusters
+from scribegauge.operators.rollup import sums
 
 DATA = Path("/root/testdata/sf0.001")
 needs_data = pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
@@ -41,7 +43,7 @@ def test_distinct_contents_give_the_results_of_all_samples(spark, scored_rows, m
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["scores_by_flag"])
+@pytest.mark.parametrize("name", ["scores_by_flag", "bootstrap"])
 def test_queries_score_each_content_once(spark, scored_rows, name):
     con = duckdb.connect()
     con.execute(f"create view lineitem as select * from '{DATA}/lineitem.parquet'")
@@ -51,3 +53,16 @@ def test_queries_score_each_content_once(spark, scored_rows, name):
     assert frame.count() == want
     samples = catalog_more.faulty_samples(spark, str(DATA)) if name == "scoring_faults" else catalog.template_samples(spark, str(DATA))
     assert scored_rows == [samples.select(*scoring.CONTENT).distinct().count()]
+
+
+def test_sums_by_cluster(spark):
+    members = ['["a"]', '["b","c"]', '["c","a"]', '"d"', '["d","d"]', '["e"]', '["f","b"]']
+    rows = [(i, f"s{i}", f'{{"who": {m}}}') for i, m in enumerate(members, 5)]
+    counts = [F.col("ordinal").alias(c) for c in catalog.COUNTED]
+    results = spark.createDataFrame(rows, "ordinal long, sample_id string, metadata string").select("*", *counts)
+    clusters = {r["ordinal"]: r["cluster"] for r in with_clusters(results, "who").collect()}
+    assert clusters == {5: 5, 6: 5, 7: 5, 8: 8, 9: 8, 10: 10, 11: 5}
+    want = with_clusters(results, "who").groupBy("cluster").agg(*sums())
+    assert texts(cluster_sums(results, "who").select(*want.columns)) == texts(want)
+    with pytest.raises(ValueError, match="s6: missing cluster metadata"):
+        cluster_sums(results.withColumn("metadata", F.when(F.col("ordinal") != 6, F.col("metadata"))), "who")
