@@ -66,3 +66,16 @@ def test_sums_by_cluster(spark):
     assert texts(cluster_sums(results, "who").select(*want.columns)) == texts(want)
     with pytest.raises(ValueError, match="s6: missing cluster metadata"):
         cluster_sums(results.withColumn("metadata", F.when(F.col("ordinal") != 6, F.col("metadata"))), "who")
+
+
+@needs_data
+def test_written_lines_are_compressed(spark, monkeypatch):
+    seen, load = [], catalog_more.load_samples
+
+    def loaded(session, path):
+        seen.extend(session.read.format("binaryFile").load(path).select("path", "length").collect())
+        return load(session, path)
+
+    monkeypatch.setattr(catalog_more, "load_samples", loaded)
+    n = catalog_more.written_samples(spark, str(DATA)).count()
+    assert seen and all(r["path"].endswith(".gz") for r in seen) and sum(r["length"] for r in seen) < 100 * n
