@@ -6,8 +6,10 @@ n-grams: a trusted target (documents labelled good) and the raw corpus (all
 documents).  A document's score is the mean log ratio of its n-grams, so it
 does not depend on length, and one threshold decides on every document.
 
-The target sample is bounded (``TARGET_ROWS`` labelled ids); the raw counts
-cover all rows.  What a task sends on is at most one row per bucket.
+The target counts and the threshold cover every labelled document, the raw
+counts all rows.  What a task sends on is at most one row per bucket; labelled
+ids are broadcast if their measured size allows it and joined by a shuffle
+otherwise.
 
 Defined results: a null text has no words and fails the base rules; a text
 shorter than one n-gram scores 0; repeated rows are judged alike and counted
@@ -24,18 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import map_rows
+from .runtime import broadcast_if_small, free, map_rows, saved
 
 BITS = 16
 GRAM = 4
-#: Most documents of each label that the target multinomial and threshold are fitted on.
-TARGET_ROWS = 20_000
 #: Share of trusted documents above their low end, and of bad ones below their high end.
 KEEP_TRUSTED = 0.995
 ASIDE, LEAST_ASIDE = 5, 50
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
 WINDOW = 5
+#: How far around a quantile, as a share of the rows, its value is looked for.
+BRACKET = 0.001
 
 
 def gram_buckets(data: bytes) -> np.ndarray:
@@ -116,10 +118,30 @@ def bucket_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("bucket", "target").agg(F.sum("n").alias("n"))
 
 
-def labelled_ids(labels: DataFrame, quality: int, rows: int = TARGET_ROWS) -> DataFrame:
-    """At most ``rows`` ids with this label, chosen by hash."""
-    found = labels.where((F.col("quality") == quality) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def labelled_ids(labels: DataFrame, quality: int) -> DataFrame:
+    """All ids with this label."""
+    return labels.where((F.col("quality") == quality) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+
+
+def quantile(scores: DataFrame, q: float) -> float | None:
+    """Exact quantile of ``score``, interpolated at ``(n - 1) q``; null if there are no rows.
+
+    Approximate quantiles bracket it; only the distinct values between them, a
+    small share of the rows, are counted one by one.
+    """
+    bracket = F.percentile_approx("score", [max(q - BRACKET, 0.0), min(q + BRACKET, 1.0)], 10_000)
+    n, ends = scores.agg(F.count("score"), bracket).first()
+    if not n:
+        return None
+    position = (n - 1) * q
+    ranks = int(np.floor(position)), int(np.ceil(position))
+    # Few rows may leave a rank outside, and then all are looked at.
+    low, high = ends if n * BRACKET > 100 else (-np.inf, np.inf)
+    below = scores.where(F.col("score") < low).count()
+    counted = scores.where(F.col("score").between(low, high)).groupBy("score").count().orderBy("score").collect()
+    upto = below + np.cumsum([r["count"] for r in counted])
+    a, b = (counted[int(np.searchsorted(upto, rank, side="right"))]["score"] for rank in ranks)
+    return a if ranks[0] == ranks[1] else (ranks[1] - position) * a + (position - ranks[0]) * b
 
 
 def fit_ratio(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
@@ -132,27 +154,28 @@ def fit_ratio(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     the high end of those labelled bad, or, where the two overlap or no bad
     labels exist, at the low end of the trusted ones.
     """
-    good = labelled_ids(labels, 1).withColumn("target", F.lit(True))
+    good = saved(labelled_ids(labels, 1).withColumn("target", F.lit(True)))
     aside = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(ASIDE)) == 0
     apart = good.count() >= LEAST_ASIDE
     trusted, judged = (good.where(~aside), good.where(aside)) if apart else (good, good)
-    sample = judged.unionByName(labelled_ids(labels, 0).withColumn("target", F.lit(False)))
-    flagged = docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left")
+    sample = saved(judged.unionByName(labelled_ids(labels, 0).withColumn("target", F.lit(False))))
+    flagged = docs.select("doc_id", "text").join(broadcast_if_small(trusted), "doc_id", "left")
     counts = np.zeros((2, 1 << BITS))
     for row in bucket_counts(flagged).collect():  # at most two rows per bucket
         counts[int(row["target"]), row["bucket"]] = row["n"]
     raw, target = counts
     if not target.sum():
+        free(good, sample)
         return np.zeros(1 << BITS), -np.inf
     smooth = 0.5
     p = (target + smooth) / (target.sum() + smooth * len(target))
     q = (raw + smooth) / (raw.sum() + smooth * len(raw))
     ratio = np.log(p) - np.log(q)
-    known = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
-    scored = score_rows(known, ratio, -np.inf).where(~F.col("base_failed")).join(F.broadcast(sample), "doc_id")
-    low = F.percentile(F.when(F.col("target"), F.col("score")), F.lit(1 - KEEP_TRUSTED))
-    high = F.percentile(F.when(~F.col("target"), F.col("score")), F.lit(KEEP_TRUSTED))
-    low, high = scored.agg(low, high).first()
+    known = docs.select("doc_id", "text").join(broadcast_if_small(sample.select("doc_id").distinct()), "doc_id", "left_semi")
+    scored = score_rows(known, ratio, -np.inf).where(~F.col("base_failed")).select("doc_id", "score")
+    scored = saved(scored.join(broadcast_if_small(sample), "doc_id").select("target", "score"))
+    low, high = quantile(scored.where("target"), 1 - KEEP_TRUSTED), quantile(scored.where(~F.col("target")), KEEP_TRUSTED)
+    free(good, sample, scored)
     if low is None:
         return ratio, -np.inf
     return ratio, (low + high) / 2 if high is not None and high < low else low
