@@ -43,7 +43,7 @@ def test_distinct_contents_give_the_results_of_all_samples(spark, scored_rows, m
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["scores_by_flag", "bootstrap", "match_logs", "report_rows", "scores_by_type", "scores_corpus", "scores_grouping_sets"])
+@pytest.mark.parametrize("name", ["scores_by_flag", "bootstrap", "match_logs", "report_rows", "scores_by_type", "scores_corpus", "scores_grouping_sets", "scoring_faults"])
 def test_queries_score_each_content_once(spark, scored_rows, name):
     con = duckdb.connect()
     con.execute(f"create view lineitem as select * from '{DATA}/lineitem.parquet'")
