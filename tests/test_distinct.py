@@ -1,5 +1,6 @@
 """Repeated samples: each content is scored once, and every sample gets its result."""
 
+import json
 from pathlib import Path
 
 import duckdb
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scribegauge import catalog, catalog_more
-from scribegauge.operators import scoring
+from scribegauge.operators import rollup, scoring
 from scribegauge.operators.resample import cluster_sums, with_clusters
 from scribegauge.operators.rollup import sums
 
@@ -79,3 +80,54 @@ def test_written_lines_are_compressed(spark, monkeypatch):
     monkeypatch.setattr(catalog_more, "load_samples", loaded)
     n = catalog_more.written_samples(spark, str(DATA)).count()
     assert seen and all(r["path"].endswith(".gz") for r in seen) and sum(r["length"] for r in seen) < 100 * n
+
+
+ODD_METADATA = (
+    None, "", "{}", '{"flag":"A","status":"x","speaker":3}', '{"status": "x", "flag": "A"}', '{"flag":"A","speaker":4}', '{"flag":5}', '{"a":1,"flag":5.0}',
+    '{"flag":"5"}', '{"flag":"A","flag":"B"}', '{"flag":"B","fl\\u0061g":"A"}', '{"x":"\\"flag\\":\\"C\\"","flag":"D"}', '{"x":{"flag":"E"}}', '{"x":{"flag":"E"},"flag":"F"}',
+    '{"flag":""}', '{"flag":null,"x":1}', '{"flag":true}', '{"x":-1.5e3,"flag":"G"}', '{"flags":"H","flag":"I"}', '{"flag":["A"],"x":1}', '{"flag":"ü}","x":"{,"}',
+)
+
+
+def test_a_field_alone_has_the_label_of_all_metadata(spark):
+    rows = spark.createDataFrame(list(enumerate(ODD_METADATA)), "ordinal long, metadata string")
+    for field in ("flag", "speaker", "x", "$1", "a\\E", 'q"'):
+        rows = rows.unionByName(rows.limit(1).withColumn("metadata", F.lit(f'{{"y":1,{json.dumps(field)}:"Z"}}')))
+        label = lambda df: df.select("ordinal", rollup.group_label(field).alias("l")).select("ordinal", "l.*")  # noqa: B023, E731
+        assert texts(label(rows.withColumn("metadata", rollup.only_field(field)))) == texts(label(rows))  # noqa: B023
+    short = spark.createDataFrame([('{"status":"x","flag":"A","speaker":3}',), ('{"x":{"flag":"E"},"flag":"F"}',)], "metadata string").select(rollup.only_field("flag"))
+    assert [r[0] for r in short.collect()] == ['{"flag":"A"}', '{"x":{"flag":"E"},"flag":"F"}']
+
+
+@needs_data
+def test_sums_of_counted_samples_are_those_of_all(spark, scored_rows, monkeypatch):
+    some = catalog_more.faulty_samples(spark, str(DATA)).where("ordinal % 50 = 0").drop("fault").withColumn("metadata", F.get(F.array(*map(F.lit, ODD_METADATA)), (F.col("ordinal") / 50 % 8).cast("int")))
+    blank = some.limit(2).withColumns({"annotations": F.lit(None).cast(some.schema["annotations"].dataType), "hypothesis": F.lit(None).cast("string")})
+    samples = some.unionByName(some.withColumn("ordinal", -F.col("ordinal"))).unionByName(blank).localCheckpoint()
+    scorer, contents = catalog.template_scorer(), samples.select(*scoring.CONTENT).distinct().count()
+    want = scoring.score_samples(samples, scorer, matches=False).localCheckpoint()
+    scored_rows.clear()
+    plain, by_text = scoring.score_counted(samples, scorer), scoring.score_counted(samples.withColumn("metadata", rollup.only_field("flag")), scorer, by=["metadata"])
+    own = scoring.score_counted(samples.withColumn("odd", F.col("ordinal") % 2), scorer, by=["odd"])
+    assert scored_rows == [contents] * 3 and plain.count() == contents
+    assert plain.agg(F.sum("n_samples")).first()[0] == by_text.agg(F.sum("n_samples")).first()[0] == samples.count()
+    assert texts(rollup.corpus_counts(plain)) == texts(rollup.corpus_counts(by_text)) == texts(rollup.corpus_counts(want))
+    assert texts(rollup.type_counts(plain)) == texts(rollup.type_counts(own)) == texts(rollup.type_counts(want))
+    assert texts(rollup.metadata_groups(by_text, "flag")) == texts(rollup.metadata_groups(want, "flag"))
+    assert texts(rollup.grouping_sets(own, ["odd"])) == texts(rollup.grouping_sets(want.withColumn("odd", F.col("ordinal") % 2), ["odd"]))
+    assert texts(rollup.type_counts(own, "odd")) == texts(rollup.type_counts(want.withColumn("odd", F.col("ordinal") % 2), "odd"))
+    none = scoring.score_counted(samples.limit(0), scorer)
+    assert none.isEmpty() and rollup.corpus_counts(none).first()["hits"] == 0
+
+
+@needs_data
+@pytest.mark.parametrize("name, sums_of, keys", [
+    ("scores_by_flag", "metadata_groups", ["l_returnflag"]),
+])
+def test_queries_sum_counted_contents(spark, monkeypatch, name, sums_of, keys):
+    summed, plain = [], getattr(catalog, sums_of)
+    monkeypatch.setattr(catalog, sums_of, lambda results, *a: summed.append(results.count()) or plain(results, *a))
+    catalog.QUERIES[name](spark, str(DATA))
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet")
+    kinds = lines.select(F.col("l_partkey") % 4, F.col("l_quantity").cast("int"), (F.col("l_orderkey") + F.col("l_linenumber")) % 8, *keys).distinct().count()
+    assert summed == [kinds] and kinds < lines.count()
