@@ -123,6 +123,7 @@ def test_sums_of_counted_samples_are_those_of_all(spark, scored_rows, monkeypatc
 @needs_data
 @pytest.mark.parametrize("name, sums_of, keys", [
     ("scores_by_flag", "metadata_groups", ["l_returnflag"]), ("scores_by_type", "type_counts", []), ("scores_corpus", "corpus_counts", []),
+    ("scores_grouping_sets", "grouping_sets", ["l_returnflag", "l_linestatus"]),
 ])
 def test_queries_sum_counted_contents(spark, monkeypatch, name, sums_of, keys):
     summed, plain = [], getattr(catalog, sums_of)
