@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scribegauge import catalog, catalog_more
+from scribegauge.functions import schemas
 from scribegauge.operators import rollup, scoring
 from scribegauge.operators.resample import cluster_sums, with_clusters
 from scribegauge.operators.rollup import sums
@@ -132,3 +133,43 @@ def test_queries_sum_counted_contents(spark, monkeypatch, name, sums_of, keys):
     lines = spark.read.parquet(f"{DATA}/lineitem.parquet")
     kinds = lines.select(F.col("l_partkey") % 4, F.col("l_quantity").cast("int"), (F.col("l_orderkey") + F.col("l_linenumber")) % 8, *keys).distinct().count()
     assert summed == [kinds] and kinds < lines.count()
+
+
+@needs_data
+@pytest.mark.parametrize("name, keys", [("scores_by_flag", ["l_returnflag"])])
+def test_lines_are_counted_before_their_texts_are_written(spark, monkeypatch, name, keys):
+    given, plain = [], catalog.score_counted
+    monkeypatch.setattr(catalog, "score_counted", lambda samples, *a, **b: given.append(samples) or plain(samples, *a, **b))
+    catalog.QUERIES[name](spark, str(DATA))
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet")
+    kinds = lines.select(F.col("l_partkey") % 4, F.col("l_quantity").cast("int"), (F.col("l_orderkey") + F.col("l_linenumber")) % 8, *keys).distinct().count()
+    (samples,) = given
+    assert samples.agg(F.count("*"), F.sum("n_samples")).first()[:] == (kinds, lines.count()) and kinds < lines.count()
+
+
+def test_counts_of_odd_lines_are_those_of_their_samples(spark, tmp_path):
+    rows = [(o, n, p, 7, q, f, "O") for o in (8, 9, None) for n in (1, 5) for p in (3, 4, 8, -4, None) for q in (2.0, 2.9, None) for f in ("A", None)]
+    names = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, l_linestatus string"
+    lines = spark.createDataFrame(rows, names)
+    lines.unionAll(lines.limit(9)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    samples, flag = catalog.template_samples(spark, str(tmp_path)), F.get_json_object("metadata", "$.flag").alias("flag")
+    want = samples.groupBy(*scoring.CONTENT, flag).agg(F.min("ordinal").alias("ordinal"), F.count("*").alias("n_samples"))
+    by_flag = catalog.template_counts(spark, str(tmp_path), "flag")
+    sums = (F.min("ordinal").alias("ordinal"), F.sum("n_samples").alias("n_samples"))
+    assert texts(by_flag.groupBy(*scoring.CONTENT, flag).agg(*sums)) == texts(want)
+    assert by_flag.where(F.col("metadata").rlike("status|speaker")).isEmpty() and by_flag.count() < samples.count()
+    plain = catalog.template_counts(spark, str(tmp_path))
+    assert texts(plain.groupBy(*scoring.CONTENT).agg(*sums)) == texts(want.groupBy(*scoring.CONTENT).agg(*sums))
+    scorer = catalog.template_scorer()
+    assert texts(rollup.type_counts(scoring.score_counted(plain, scorer))) == texts(rollup.type_counts(scoring.score_counted(samples, scorer)))
+
+
+def test_few_contents_are_one_task(spark, monkeypatch):
+    seen, plain = [], scoring.score_samples
+    monkeypatch.setattr(scoring, "score_samples", lambda samples, *a, **b: seen.append(samples.rdd.getNumPartitions()) or plain(samples, *a, **b))
+    absent = {"annotations": schemas.ANNOTATIONS} | dict.fromkeys(schemas.VERSION_FIELDS[1:], "string")
+    given = {"ordinal": F.col("id"), "reference": F.concat(F.lit("knie "), "id"), "hypothesis": F.lit("knie"), "schema_version": F.lit(schemas.SCHEMA_VERSION)}
+    given |= {c: F.lit(None).cast(t) for c, t in absent.items()}
+    scoring.score_counted(spark.range(1_900).select(*(c.alias(n) for n, c in given.items())), catalog.template_scorer())
+    scoring.score_counted(spark.range(4_100).select(*(c.alias(n) for n, c in given.items())), catalog.template_scorer())
+    assert seen == [1, 2]
