@@ -136,7 +136,7 @@ def test_queries_sum_counted_contents(spark, monkeypatch, name, sums_of, keys):
 
 
 @needs_data
-@pytest.mark.parametrize("name, keys", [("scores_by_flag", ["l_returnflag"]), ("scores_by_type", []), ("scores_corpus", [])])
+@pytest.mark.parametrize("name, keys", [("scores_by_flag", ["l_returnflag"]), ("scores_by_type", []), ("scores_corpus", []), ("scores_grouping_sets", ["l_returnflag", "l_linestatus"])])
 def test_lines_are_counted_before_their_texts_are_written(spark, monkeypatch, name, keys):
     given, plain = [], catalog.score_counted
     monkeypatch.setattr(catalog, "score_counted", lambda samples, *a, **b: given.append(samples) or plain(samples, *a, **b))
